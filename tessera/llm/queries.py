@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import chat_format, chat_parse, unescaped
+from tessera.llm.quality import quality_rules
+from tessera.llm.quality_sql import OP2_SQL
 from tessera.llm.simhash import simhash_dedup
 
 
@@ -15,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *(f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
@@ -63,8 +73,8 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash, "op10_chat": op10_chat}
+    return {"op2_quality": op2_quality, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    return {"op2_quality": OP2_SQL, "op10_chat": OP10_SQL}
