@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat import chat_format, chat_parse, unescaped
 from tessera.llm.quality import quality_rules
 from tessera.llm.quality_sql import OP2_SQL
+from tessera.llm.repeats import remove_repeats
 from tessera.llm.simhash import simhash_dedup
 
 
@@ -25,6 +26,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.begin)")
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
@@ -73,7 +85,7 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
+    return {"op2_quality": op2_quality, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
