@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import chat_format, chat_parse, unescaped
+from tessera.llm.common import stored
+from tessera.llm.packing import pack, with_tokens
 from tessera.llm.quality import quality_rules
 from tessera.llm.quality_sql import OP2_SQL
 from tessera.llm.repeats import remove_repeats
@@ -26,6 +28,47 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = stored(with_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens"), "lengths")
+    return pack(lengths, "n_tokens", ["doc_id"], buckets=16, budget=65_536)
+
+
+def packing_sql(rows: str, buckets: int = 16, budget: int = 65_536) -> str:
+    """CTEs ending in `packed`, for a table rows (doc_id, n_tokens) without lengths over FINE."""
+    return f"""
+p_hist AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY n_tokens) AS i, n_tokens AS x, count(*) AS c FROM {rows} GROUP BY n_tokens
+), p_sum AS MATERIALIZED (
+  SELECT i, x, (sum(c) OVER o)::BIGINT AS n, (sum(c * x) OVER o)::BIGINT AS s FROM p_hist WINDOW o AS (ORDER BY i)
+), p_best AS (
+  SELECT 1 AS m, i, (x * n - s)::BIGINT AS cost, 0::BIGINT AS split FROM p_sum
+  UNION ALL
+  SELECT m, i, o.cost, o.split FROM (
+    SELECT b.m + 1 AS m, e.i, min(struct_pack(cost := CASE WHEN b.i = e.i THEN b.cost ELSE b.cost + e.x * (e.n - d.n) - (e.s - d.s) END,
+      split := CASE WHEN b.i = e.i THEN 0 ELSE b.i END)) AS o
+    FROM p_best AS b JOIN p_sum AS d ON d.i = b.i JOIN p_sum AS e ON b.i <= e.i
+    WHERE b.m < {buckets} GROUP BY b.m, e.i)
+), p_back AS (
+  SELECT {buckets} AS m, (SELECT max(i) FROM p_sum) AS i, 0 AS step
+  UNION ALL
+  SELECT k.m - 1, CASE WHEN b.split > 0 THEN b.split ELSE k.i END, k.step + 1
+  FROM p_back AS k JOIN p_best AS b ON b.m = k.m AND b.i = k.i WHERE k.m > 1
+), p_bound AS MATERIALIZED (
+  SELECT x AS bucket_tokens, (row_number() OVER (ORDER BY x) - 1)::INT AS bucket FROM (SELECT DISTINCT x FROM p_back JOIN p_sum USING (i))
+), p_place AS (
+  SELECT r.doc_id, r.n_tokens, b.bucket, b.bucket_tokens, row_number() OVER (PARTITION BY b.bucket ORDER BY r.doc_id NULLS FIRST) - 1 AS place,
+    greatest(1, {budget} // b.bucket_tokens) AS each
+  FROM {rows} AS r JOIN p_bound AS b ON b.bucket_tokens = (SELECT min(bucket_tokens) FROM p_bound WHERE bucket_tokens >= r.n_tokens)
+), packed AS (
+  SELECT doc_id, n_tokens, bucket, bucket_tokens, (place // each)::BIGINT AS batch, (place % each)::BIGINT AS slot FROM p_place
+)"""
+
+
+OP4_SQL = rf"""WITH RECURSIVE lengths AS MATERIALIZED (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT + 1 AS n_tokens FROM documents
+), {packing_sql("lengths")} SELECT * FROM packed"""
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.begin)")
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
@@ -85,8 +128,8 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
+    return {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op10_chat": OP10_SQL}
+    return {"op2_quality": OP2_SQL, "op4_packing": OP4_SQL, "op10_chat": OP10_SQL}
