@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import bpe_encode
 from tessera.llm.chat import chat_format, chat_parse, unescaped
 from tessera.llm.common import stored
 from tessera.llm.packing import pack, with_tokens
@@ -85,6 +86,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe_encode(_table(spark, sf_dir, "documents"), path)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     more = f"SELECT * FROM VALUES (-1L, 0L, 'user', '{odd}'), (-1L, 1L, 'assistant', '{odd}') AS t(conv_id, turn, role, text)"
@@ -128,7 +143,7 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op10_chat": op10_chat}
+    return {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
