@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import bpe_encode
 from tessera.llm.chat import chat_format, chat_parse, unescaped
 from tessera.llm.common import stored
+from tessera.llm.html_text import extract_html
 from tessera.llm.packing import pack, with_tokens
 from tessera.llm.quality import quality_rules
 from tessera.llm.quality_sql import OP2_SQL
@@ -100,6 +101,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_html(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     more = f"SELECT * FROM VALUES (-1L, 0L, 'user', '{odd}'), (-1L, 1L, 'assistant', '{odd}') AS t(conv_id, turn, role, text)"
@@ -143,7 +149,7 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op10_chat": op10_chat}
+    return {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:

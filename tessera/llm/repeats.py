@@ -28,12 +28,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tessera.llm.common import ids_and_text, stored, text_key
 
 #: Bytes that a trigger looks at.
 GRAM = 8
-_SPAN = "array<struct<begin: int, end: int>>"
+_SPAN = ArrayType(StructType().add("begin", "integer").add("end", "integer"))
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -194,6 +195,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["id", "carried", "text", "kept", "spans"],
             )
 
-    kind = joined.schema["carried"].dataType.simpleString()
-    out = joined.select("id", "carried", "text", "spans").mapInArrow(run, f"id long, carried {kind}, text binary, kept binary, spans {_SPAN}")
+    names = StructType([joined.schema["id"], joined.schema["carried"]])
+    out = joined.select("id", "carried", "text", "spans").mapInArrow(run, names.add("text", "binary").add("kept", "binary").add("spans", _SPAN))
     return out.select("id", *(F.col("carried")[c].alias(c) for c in extra), "text", "kept", "spans")
