@@ -11,6 +11,7 @@ from tessera.llm.bpe import bpe_encode
 from tessera.llm.chat import chat_format, chat_parse, unescaped
 from tessera.llm.common import stored
 from tessera.llm.html_text import extract_html
+from tessera.llm.kneser_ney import score, train
 from tessera.llm.packing import pack, with_tokens
 from tessera.llm.quality import quality_rules
 from tessera.llm.quality_sql import OP2_SQL
@@ -22,6 +23,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 7 == 2, F.lit(True))
+    model = train(docs.where(~held_out("doc_id")))
+    return score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        held_out("id").alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
@@ -149,8 +165,8 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_chat": op10_chat}
+    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op4_packing": OP4_SQL, "op10_chat": OP10_SQL}
+    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": OP2_SQL, "op4_packing": OP4_SQL, "op10_chat": OP10_SQL}
