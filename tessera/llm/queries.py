@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import bpe_encode
 from tessera.llm.chat import chat_format, chat_parse, unescaped
 from tessera.llm.common import stored
+from tessera.llm.embedding_join import near_vectors
 from tessera.llm.html_text import extract_html
 from tessera.llm.kneser_ney import score, train
 from tessera.llm.packing import pack, with_tokens
@@ -46,6 +47,28 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+#: Pair by pair, which the whole tables of small scale factors bear.
+OP3_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pair AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT reach.vec_id, pair.b FROM reach JOIN pair ON pair.a = reach.other
+)
+SELECT vec_id, (SELECT count(*) FROM pair WHERE pair.a = reach.vec_id) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM reach GROUP BY vec_id
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = stored(with_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens"), "lengths")
     return pack(lengths, "n_tokens", ["doc_id"], buckets=16, budget=65_536)
@@ -165,8 +188,8 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": op2_quality, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_chat": op10_chat}
+    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": op2_quality, "op3_embedding_join": op3_embedding_join, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": OP2_SQL, "op4_packing": OP4_SQL, "op10_chat": OP10_SQL}
+    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": OP2_SQL, "op3_embedding_join": OP3_SQL, "op4_packing": OP4_SQL, "op10_chat": OP10_SQL}
