@@ -43,11 +43,30 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Lets Spark delete the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once as Parquet in the shared folder and read again: survives lost executors.
+
+    The shuffle files behind it are deleted as soon as the table is complete.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tessera_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that stored() made and that nothing reads any more."""
+    _delete(df.sparkSession, df.tessera_path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ classes, found with distributed hash aggregation, rather than by ranks from a so
    once; no string of their phrase can occur again.
 2. Whole phrases: all bytes that any string of the phrase holds. Where two are equal, each of
    their strings occurs again. This settles the inside of repeats, and copies.
-3. Single strings, named by (parse suffix, hash of all bytes), only for phrases that are left: the
-   ends of repeats. Phrases that 2 has settled take part once for each kind.
+3. Parts of the phrases that are left, the ends of repeats: the same two questions for each run of
+   PARTS[0] starts before a trigger, what all its strings hold and what any of them holds, then
+   for what is still left with PARTS[1] and so on, down to single strings. What is settled takes
+   part once for each kind, since others may equal a part of it.
 
 Every step is an aggregation with map-side combining or a join on a hash, so very common strings
 and large groups of copies make rows in proportion to their number, never to its square.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tessera.llm.common import ids_and_text, stored, text_key
+from tessera.llm.common import discard, ids_and_text, stored, text_key
 
 #: Bytes that a trigger looks at.
 GRAM = 8
@@ -72,82 +74,104 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+#: Starts in a part of a phrase, level by level.
+PARTS = (18, 1)
+_COLUMNS = "suffix long, common long, whole long, k1 long, k2 long, first int, last int, lead int, single boolean"
+
+
+def _rows(suffix: pa.Array, common: list[int], whole: list[int], k1: int, k2: int, first: np.ndarray, last: np.ndarray, at: np.ndarray, single: pa.Array) -> pa.RecordBatch:
+    n = len(first)
+    ints = (pa.array(x.astype(np.int32)) for x in (first, last, at - first))
+    keys = (pa.array(np.full(n, k, np.int64)) for k in (k1, k2))
+    return pa.RecordBatch.from_arrays([suffix, _signed(common), _signed(whole), *keys, *ints, single], ["suffix", "common", "whole", "k1", "k2", "first", "last", "lead", "single"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches(rows)
+            held, count = [], 0
+    if count:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches(rows)
+
+
 def _phrases(rows: DataFrame, length: int, stretch: int) -> DataFrame:
-    """(suffix, phrase, k1, k2, first, last): see steps 1 and 2; texts under `length` have none."""
-    names = ["suffix", "phrase", "k1", "k2", "first", "last"]
+    """The phrases of all texts of `length` bytes or more, as _COLUMNS: steps 1 and 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch.column(2)[k].as_buffer()
-                data = np.frombuffer(text, np.uint8)
-                at, first, last = triggers(data, length, stretch)
-                view = memoryview(text)
+                view = memoryview(batch.column(2)[k].as_buffer())
+                at, first, last = triggers(np.frombuffer(view, np.uint8), length, stretch)
                 suffix = [digest(view[a : a + length - stretch + 1]) for a in at.tolist()]
-                phrase = [digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())]
-                n = len(at)
-                keys = [pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([_signed(suffix), _signed(phrase), *keys, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            count += batch.num_rows
-            if count >= 50_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, count = [], 0
-        if count:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                whole = [digest(view[a:b], c) for a, b, c in zip(first.tolist(), (last + length).tolist(), (at - first).tolist())]
+                yield _rows(_signed(suffix), suffix, whole, batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), first, last, at, pa.array(np.ones(len(at), bool)))
 
     long = rows.where(F.octet_length("text") >= length).select("k1", "k2", F.col("text").cast("binary").alias("text"))
-    return long.mapInArrow(merged, "suffix long, phrase long, k1 long, k2 long, first int, last int")
+    return long.mapInArrow(lambda batches: _joined(run(batches)), _COLUMNS)
 
 
-def _strings(rows: DataFrame, open_phrases: DataFrame, length: int) -> DataFrame:
-    """(suffix, string, k1, k2, first, single): step 3, a row for each start of the open phrases."""
-    wanted = open_phrases.groupBy("k1", "k2").agg(F.collect_list(F.struct("suffix", "first", "last", "single")).alias("wanted"))
-    texts = rows.select("k1", "k2", F.col("text").cast("binary").alias("text"))
-    joined = texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+def _parts(rows: DataFrame, left: DataFrame, length: int, part: int) -> DataFrame:
+    """What is left, in parts of so many starts counted back from the trigger: step 3."""
+    wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("suffix", "first", "last", "lead", "single")).alias("wanted"))
+    joined = rows.select("k1", "k2", F.col("text").cast("binary").alias("text")).join(wanted.hint("shuffle_hash"), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for k in range(batch.num_rows):
-                view = memoryview(batch.column(2)[k].as_buffer())
-                wanted = batch.column(3)[k].values
-                first, last = (wanted.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("first", "last"))
-                size = last - first + 1
-                start = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                string = [digest(view[a : a + length]) for a in start.tolist()]
-                spread = lambda name: pa.array(np.repeat(wanted.field(name).to_numpy(zero_copy_only=False), size))  # noqa: B023, E731
-                keys = [pa.array(np.full(len(start), batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
-                for lo in range(0, len(start), 100_000):
-                    part = pa.RecordBatch.from_arrays([spread("suffix"), _signed(string), *keys, pa.array(start.astype(np.int32)), spread("single")], ["suffix", "string", "k1", "k2", "first", "single"])
-                    yield part.slice(lo, 100_000)
-
-    return joined.mapInArrow(run, "suffix long, string long, k1 long, k2 long, first int, single boolean")
-
-
-def repeated_spans(rows: DataFrame, length: int = 400, stretch: int = 200) -> DataFrame:
+                view, wanted = memoryview(batch.column(2)[k].as_buffer()), batch.column(3)[k].values
+                first, last, lead = (wanted.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("first", "last", "lead"))
+                at = first + lead
+                low, high = (at - last) // part, lead // part  # parts by distance from the trigger
+                n = high - low + 1
+                own = np.repeat(np.arange(len(n)), n)
+                number = low[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = at[own]
+                begin, end = np.maximum(first[own], at - (number + 1) * part + 1), np.minimum(last[own], at - number * part)
+                inner = zip((at - number * part).tolist(), (at - (number + 1) * part + 1 + length).tolist(), number.tolist())
+                common = [digest(view[a:b], c) for a, b, c in inner]
+                whole = [digest(view[a:b], c) for a, b, c in zip(begin.tolist(), (end + length).tolist(), (at - begin).tolist())]
+                pick = lambda name: pa.array(wanted.field(name).to_numpy(zero_copy_only=False)[own])  # noqa: B023, E731
+                yield _rows(pick("suffix"), common, whole, batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), begin, end, at, pick("single"))
+
+    return joined.mapInArrow(lambda batches: _joined(run(batches)), _COLUMNS)
+
+
+def repeated_spans(rows: DataFrame, length: int = 400, stretch: int = 320) -> DataFrame:
     """(k1, k2, spans) for the texts of rows (k1, k2, text) that hold a repeated string; spans:
     array of (begin, end) in bytes, in any order, overlapping, that cover exactly the repeats."""
-    phrases = stored(_phrases(rows, length, stretch), "phrases")
+    if stretch + GRAM > length:
+        raise ValueError("the trigger of a string must lie inside it")
+    phrases = stored(_phrases(rows, length, stretch).drop("common"), "phrases")
     again = phrases.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
-    live = stored(phrases.join(again, "suffix"), "live-phrases")
-    kinds = stored(
-        live.groupBy("suffix", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")),
-        "kinds",
-    )
-    settled = live.join(kinds.where("n > 1").select("suffix", "phrase"), ["suffix", "phrase"])
-    loose = kinds.where("n = 1").select("suffix").distinct()
-    open_phrases = kinds.join(loose, "suffix").select("suffix", "one.*", (F.col("n") == 1).alias("single"))
-    strings = stored(_strings(rows, open_phrases, length), "strings")
-    twice = strings.groupBy("suffix", "string").agg(F.count("*").alias("n")).where("n > 1").select("suffix", "string")
-    ends = strings.where("single").join(twice, ["suffix", "string"]).select("k1", "k2", "first", F.col("first").alias("last"))
-    spans = settled.select("k1", "k2", "first", "last").union(ends)
-    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct(F.col("first").alias("begin"), (F.col("last") + length).alias("end"))).alias("spans"))
+    live = stored(phrases.join(again, "suffix").withColumn("common", F.col("suffix")), "live")
+    discard(phrases)
+    spans = []
+    for part in (*PARTS, None):
+        by = ["suffix", "common"]
+        # the rows of each kind; those that occur once may still equal a part of another kind
+        kinds = live.groupBy(*by, "whole").agg(
+            F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct("k1", "k2", "first", "last", "lead")).alias("one")
+        )
+        kinds = stored(kinds, "kinds")
+        settled = live.where("single").join(kinds.where("n > 1 AND single").select(*by, "whole"), [*by, "whole"])
+        spans.append(stored(settled.select("k1", "k2", "first", "last"), "spans"))
+        discard(live)
+        if part is None:
+            break
+        mixed = kinds.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.expr("n = 1 AND single")).alias("loose"))
+        left = kinds.join(mixed.where("n > 1 AND loose").select(*by), by).select("suffix", "one.*", F.expr("n = 1 AND single").alias("single"))
+        live = stored(_parts(rows, left, length, part), "parts")
+        discard(kinds)
+    found = spans[0]
+    for more in spans[1:]:
+        found = found.union(more)
+    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct(F.col("first").alias("begin"), (F.col("last") + length).alias("end"))).alias("spans"))
 
 
 def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +184,7 @@ def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin[new], end[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(begin) - 1]])]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, stretch: int = 200, extra: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, stretch: int = 320, extra: list[str] | None = None) -> DataFrame:
     """(id, <extra>, text, kept, spans) for every row of docs.
 
     spans: the removed runs, array of (begin, end) in bytes of the UTF-8 text, in order and apart;

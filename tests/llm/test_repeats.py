@@ -46,19 +46,19 @@ def test_random_repeats_equal_brute_force(spark):
         texts.append("".join(parts))
     texts += ["a" * 500, "ab" * 200, "b" * 39, "c" * 40, "c" * 40, "", None, "x" * 40, texts[0], "é" * 100]
     check(spark, texts, 40, 16)
-    check(spark, texts, 40, 20)
+    check(spark, texts, 60, 45)
 
 
 def test_repeated_rows_and_ids(spark):
     a, b = "".join(random.Random(1).choices("abcdefgh ", k=300)), "".join(random.Random(2).choices("abcdefgh ", k=300))
-    check(spark, [a, a, b, b[:150] + a[100:200]], 50, 20, ids=[7, 7, 7, None])
+    check(spark, [a, a, b, b[:150] + a[100:200]], 50, 40, ids=[7, 7, 7, None])
 
 
 def test_a_common_passage_between_unique_texts(spark):
     rng = random.Random(9)
     word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
     passage = word(150)
-    check(spark, [word(rng.randint(0, 90)) + passage[rng.randint(0, 5) :] + word(rng.randint(0, 90)) for _ in range(80)], 100, 40)
+    check(spark, [word(rng.randint(0, 90)) + passage[rng.randint(0, 5) :] + word(rng.randint(0, 90)) for _ in range(80)], 100, 80)
 
 
 def test_empty_table_and_long_text(spark):
