@@ -28,25 +28,30 @@ BYTES = 8
 PAIRWISE = 512
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """SimHash of the word shingles of a UTF-8 text, as unsigned 64-bit number; 0 without words."""
+def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, in order; fewer words: of all of them together."""
     tokens = text.lower().split()  # bytes: only A-Z change, only ASCII white space parts words
     if not tokens:
-        return 0
-    if len(tokens) < words:
-        return _majority([xxhash.xxh64_intdigest(b" ".join(tokens), SEED)])
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
+    if len(tokens) < words:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     length = np.fromiter(map(len, tokens), np.int64, len(tokens))
     end = np.cumsum(length) + np.arange(len(tokens))
     begins, ends = (end - length).tolist(), end[words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    return _majority([digest(joined[a:b], SEED) for a, b in zip(begins, ends)])
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends)], np.uint64)
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """SimHash of the word shingles of a UTF-8 text, as unsigned 64-bit number; 0 without words."""
+    return _majority(shingle_hashes(text, words))
 
 
-def _majority(hashes: list[int]) -> int:
+def _majority(hashes: np.ndarray) -> int:
     votes, step = np.zeros(64, np.int64), 1 << 16
     for k in range(0, len(hashes), step):
-        part = np.array(hashes[k : k + step], "<u8")
+        part = hashes[k : k + step].astype("<u8")
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
