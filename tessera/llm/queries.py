@@ -14,6 +14,7 @@ from tessera.llm.embedding_join import near_vectors
 from tessera.llm.html_text import extract_html
 from tessera.llm.kneser_ney import score, train
 from tessera.llm.packing import pack, with_tokens
+from tessera.llm.passages import shared_passages
 from tessera.llm.quality import quality_rules
 from tessera.llm.quality_sql import OP2_SQL
 from tessera.llm.repeats import remove_repeats
@@ -110,6 +111,13 @@ OP4_SQL = rf"""WITH RECURSIVE lengths AS MATERIALIZED (
 ), {packing_sql("lengths")} SELECT * FROM packed"""
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_passages(_table(spark, sf_dir, "documents"), words=50, alike=0.8)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_shared_words", F.size("spans").cast("long").alias("n_spans"), "component_id", F.to_json("spans").alias("spans")
+    )
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.begin)")
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
@@ -188,7 +196,7 @@ FROM m GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": op2_quality, "op3_embedding_join": op3_embedding_join, "op4_packing": op4_packing, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_chat": op10_chat}
+    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": op2_quality, "op3_embedding_join": op3_embedding_join, "op4_packing": op4_packing, "op5_passages": op5_passages, "op6_suffix_array": op6_suffix_array, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
