@@ -317,9 +317,9 @@ SQL = {
     "get_by_id": f"WITH {_C} SELECT id, name, {_R6.format('vec')} AS vec FROM c WHERE NOT deleted AND id = 7",
     "dot": f"WITH {_C} SELECT id, round({_DOT.format(a='vec', b=_REV)}, 6) AS dot FROM c",
     "norm": f"WITH {_C} SELECT id, round(sqrt({_DOT.format(a='vec', b='vec')}), 6) AS norm FROM c",
-    "cosine_distance": f"WITH {_C}, u AS (SELECT id, vec, list_transform({_UP}, lambda x: x::FLOAT)::DOUBLE[] AS up FROM c) SELECT id, round(1 - {_DOT.format(a='vec', b='up')} / sqrt({_DOT.format(a='vec', b='vec')} * {_DOT.format(a='up', b='up')}), 6) AS dist FROM u",
+    "cosine_distance": f"WITH {_C}, u AS (SELECT id, vec, {_UP} AS up FROM c) SELECT id, round(1 - {_DOT.format(a='vec', b='up')} / sqrt({_DOT.format(a='vec', b='vec')} * {_DOT.format(a='up', b='up')}), 6) AS dist FROM u",
     "cosine_normalized": f"WITH {_C} SELECT id, round(1 - {_DOT.format(a='vec', b=_REV)}, 6) AS dist FROM c",
-    "normalize": f"WITH {_C}, u AS (SELECT id, list_transform({_UP}, lambda x: x::FLOAT)::DOUBLE[] AS up FROM c) SELECT id, list_transform(up, lambda x: round(x / sqrt({_DOT.format(a='up', b='up')}), 6)) AS vec FROM u",
+    "normalize": f"WITH {_C}, u AS (SELECT id, {_UP} AS up FROM c) SELECT id, list_transform(up, lambda x: round(x / sqrt({_DOT.format(a='up', b='up')}), 6)) AS vec FROM u",
     "verify_norm": f"WITH {_C} SELECT id, abs(sqrt({_DOT.format(a='vec', b='vec')}) - 1) <= 1e-4 AS ok, abs(2 * sqrt({_DOT.format(a='vec', b='vec')}) - 1) <= 1e-4 AS ok_doubled FROM c",
     "parse_literal": f"WITH {_C} SELECT id, list_transform(vec, lambda x: round(printf('%.3f', x)::FLOAT::DOUBLE, 3)) AS vec FROM c",
     "name_prefix": "SELECT item_id, least(64, strlen(text))::INT AS n, substr(hex(text), 1, 128) AS prefix FROM benchmark",
