@@ -28,7 +28,7 @@ from tessera.llm.common import connected_components, local_components, stored
 
 BLOCKS, SEED = 4, 7
 #: Vectors at home in a task, others compared with them at once, and the most pivots.
-TILE, STEP, MOST_PIVOTS = 2048, 1024, 256
+TILE, STEP, MOST_PIVOTS = 8192, 128, 256
 #: Added to squared distances against rounding, before the exact check.
 SLACK = 1e-5
 
@@ -133,6 +133,10 @@ def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, t
             self.ids, self.unit = np.concatenate(self.ids), np.concatenate(self.units)
             self.weights = np.concatenate(self.weights)
             self.turned = self.unit @ turn
+            a, b = cuts[self.key[0]]
+            x = self.turned[:, a:b]
+            # one product with (y, 1, |y|^2) gives the squared distance
+            self.left = np.hstack([-2 * x, (x * x).sum(axis=1)[:, None], np.ones((len(x), 1))]).astype(np.float32)
             self.links = np.zeros(len(self.ids), np.int64)
             self.tied = self.ids.copy()  # the least id tied with each vector at home
             self.ready = True
@@ -143,9 +147,10 @@ def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, t
             block = self.key[0]
             a, b = cuts[block]
             turned = unit @ turn
-            x, y = self.turned[:, a:b].astype(np.float32), turned[:, a:b].astype(np.float32)
-            near = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-            i, j = np.nonzero(near <= np.float32(share[block] + SLACK))
+            y = turned[:, a:b]
+            right = np.hstack([y, np.ones((len(y), 1)), (y * y).sum(axis=1)[:, None]]).astype(np.float32)
+            near = self.left @ right.T <= np.float32(share[block] + SLACK)
+            i, j = np.divmod(np.flatnonzero(near), len(y))
             step = 200_000  # pairs checked at once
             out = []
             for lo in range(0, len(i), step):
