@@ -13,6 +13,7 @@ from tessera.llm.common import stored
 from tessera.llm.embedding_join import near_vectors
 from tessera.llm.html_text import extract_html
 from tessera.llm.kneser_ney import score, train
+from tessera.llm.kneser_ney_sql import OP1_SQL
 from tessera.llm.packing import pack, with_tokens
 from tessera.llm.passages import shared_passages
 from tessera.llm.quality import quality_rules
@@ -35,8 +36,8 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens",
         "n_known",
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
+        F.round("base_score", 6).alias("base_score"),
+        F.round("score", 6).alias("score"),
     )
 
 
@@ -200,4 +201,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_kneser_ney": op1_kneser_ney, "op2_quality": OP2_SQL, "op3_embedding_join": OP3_SQL, "op4_packing": OP4_SQL, "op10_chat": OP10_SQL}
+    return {"op1_kneser_ney": OP1_SQL, "op2_quality": OP2_SQL, "op3_embedding_join": OP3_SQL, "op4_packing": OP4_SQL, "op10_chat": OP10_SQL}
