@@ -25,7 +25,7 @@ from tessera.llm.common import ids_and_text
 #: How byte-level BPE parts a text into words (fixed value); \s as the White_Space property has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Text taken at once, in code points, and words a worker remembers: bounds of its memory only.
-CHUNK, REMEMBER = 1 << 20, 250_000
+CHUNK, REMEMBER = 1 << 20, 500_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -54,6 +54,7 @@ class ByteBpe:
         of = {t: i for t, i in model["vocab"].items()}
         self.merges = {(of[a], of[b]): (rank, of[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids))
+        self._size = {i: len(t) for i, t in self.bytes_of.items()}
         self._whole: dict[int, bool] = {}
         self._follows: dict[tuple[int, int], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
@@ -75,7 +76,8 @@ class ByteBpe:
         if found is None:
             if len(self._follows) > 4 * REMEMBER:
                 self._follows.clear()
-            found = self._follows[a, b] = self.merge_all(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            # two tokens that merge can't stay as they are
+            found = self._follows[a, b] = (a, b) not in self.merges and self.merge_all(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
     def is_whole(self, a: int) -> bool:
@@ -86,7 +88,8 @@ class ByteBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """The token ids of each different word."""
-        get, follows, out = self.ids.get, self._follows, {}
+        get, follows, out, longest = self.ids.get, self._follows.get, {}, self.longest
+        size = self._size
         before, last = b"", [-1]  # last[i]: the last token of the first i bytes of the path
         for data, word in sorted((w.encode(), w) for w in set(words)):
             shared, n = 0, min(len(before), len(data))
@@ -94,12 +97,13 @@ class ByteBpe:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(data) + 1):
-                for begin in range(max(0, end - self.longest), end):
+                # from the longest on that such words have; the one that fits is the only one
+                for begin in range(end - longest if end > longest else 0, end):
                     token = get(data[begin:end])
                     if token is None:
                         continue
                     if begin:
-                        fits = follows.get((last[begin], token))
+                        fits = follows((last[begin], token))
                         if fits is None:
                             fits = self.may_follow(last[begin], token)
                     else:
@@ -112,7 +116,7 @@ class ByteBpe:
             ids, end = [], len(data)
             while end:
                 ids.append(last[end])
-                end -= len(self.bytes_of[last[end]])
+                end -= size[last[end]]
             out[word] = tuple(ids[::-1])
             before = data
         return out
