@@ -148,7 +148,8 @@ def repeated_spans(rows: DataFrame, length: int = 400, stretch: int = 320) -> Da
     if stretch + GRAM > length:
         raise ValueError("the trigger of a string must lie inside it")
     phrases = stored(_phrases(rows, length, stretch).drop("common"), "phrases")
-    again = phrases.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
+    # a table of its own: a join of two plain exchanges is one whose skew Spark can split
+    again = stored(phrases.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix"), "again")
     live = stored(phrases.join(again, "suffix").withColumn("common", F.col("suffix")), "live")
     discard(phrases)
     spans = []
@@ -185,7 +186,7 @@ def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, stretch: int = 320, extra: list[str] | None = None) -> DataFrame:
-    """(id, <extra>, text, kept, spans) for every row of docs.
+    """(id, carried, text, kept, spans) for every row of docs; carried: struct of the columns extra.
 
     spans: the removed runs, array of (begin, end) in bytes of the UTF-8 text, in order and apart;
     kept: binary, the bytes outside of them. A byte is removed if a string of `length` bytes over
@@ -220,5 +221,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     names = StructType([joined.schema["id"], joined.schema["carried"]])
-    out = joined.select("id", "carried", "text", "spans").mapInArrow(run, names.add("text", "binary").add("kept", "binary").add("spans", _SPAN))
-    return out.select("id", *(F.col("carried")[c].alias(c) for c in extra), "text", "kept", "spans")
+    return joined.select("id", "carried", "text", "spans").mapInArrow(run, names.add("text", "binary").add("kept", "binary").add("spans", _SPAN))

@@ -26,7 +26,7 @@ def brute(texts, length):
 def check(spark, texts, length, stretch, ids=None):
     ids = ids or list(range(len(texts)))
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").selectExpr("*", "'a' AS k1", "2 AS spans")
-    got = sorted((bytes(r.text).decode(), bytes(r.kept), [(s.begin, s.end) for s in r.spans], r.k1) for r in remove_repeats(docs, length=length, stretch=stretch, extra=["k1"]).collect())
+    got = sorted((bytes(r.text).decode(), bytes(r.kept), [(s.begin, s.end) for s in r.spans], r.carried.k1) for r in remove_repeats(docs, length=length, stretch=stretch, extra=["k1"]).collect())
     want = sorted((t or "", *x, "a") for t, x in zip(texts, brute(texts, length)))
     assert got == want
 
