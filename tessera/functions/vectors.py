@@ -36,9 +36,12 @@ def cosine_normalized(a: Column | str, b: Column | str) -> Column:
 
 def normalize(a: Column | str) -> Column:
     """The vector at length 1, as doubles; a zero vector stays as it is."""
-    a = _col(a).cast("array<double>")
-    length = norm(a)
-    return F.when(length == 0, a).otherwise(F.transform(a, lambda x: x / F.when(length != 0, length)))
+    # the lambdas give the vector and its length names, so that neither is worked out for each element
+    def divided(v: Column) -> Column:
+        scaled = F.transform(F.array(norm(v)), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / F.when(n != 0, n))))
+        return scaled[0]
+
+    return F.transform(F.array(_col(a).cast("array<double>")), divided)[0]
 
 
 def is_normalized(a: Column | str, tolerance: float = 1e-4) -> Column:
