@@ -120,13 +120,14 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.begin)")
-    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+    total = lambda c: F.expr(f"aggregate({c}, 0L, (a, s) -> a + s.end - s.begin)")
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=400, passages=(240, 50)).select(
         F.col("id").alias("doc_id"),
         F.length("text").cast("long").alias("n_bytes"),
-        removed.alias("n_removed"),
+        total("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        total("passages").alias("n_passage_bytes"),
     )
 
 

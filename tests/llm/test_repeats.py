@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tessera.llm.queries import op6_suffix_array
-from tessera.llm.repeats import merged_spans, remove_repeats, triggers
+from tessera.llm.repeats import merged_spans, neighbours, remove_repeats, triggers
 
 
 def brute(texts, length):
@@ -23,11 +23,15 @@ def brute(texts, length):
     return out
 
 
-def check(spark, texts, length, stretch, ids=None):
+def check(spark, texts, length, stretch, ids=None, least=None, crowd=None):
     ids = ids or list(range(len(texts)))
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").selectExpr("*", "'a' AS k1", "2 AS spans")
-    got = sorted((bytes(r.text).decode(), bytes(r.kept), [(s.begin, s.end) for s in r.spans], r.carried.k1) for r in remove_repeats(docs, length=length, stretch=stretch, extra=["k1"]).collect())
-    want = sorted((t or "", *x, "a") for t, x in zip(texts, brute(texts, length)))
+    found = remove_repeats(docs, length=length, passages=(least, 3) if least else None, stretch=stretch, extra=["k1"], crowd=crowd)
+    plain = lambda spans: [(s.begin, s.end) for s in spans]
+    got = sorted((bytes(r.text).decode(), bytes(r.kept), plain(r.spans), r.carried.k1, plain(r.passages)) for r in found.collect())
+    shorter = brute(texts, least) if least else [(b"", [])] * len(texts)
+    told = [[(a, b) for a, b in runs if len((t or "").encode()[a:b].split()) >= 3] for t, (_, runs) in zip(texts, shorter)]
+    want = sorted((t or "", *x, "a", y) for t, x, y in zip(texts, brute(texts, length), told))
     assert got == want
 
 
@@ -46,7 +50,8 @@ def test_random_repeats_equal_brute_force(spark):
         texts.append("".join(parts))
     texts += ["a" * 500, "ab" * 200, "b" * 39, "c" * 40, "c" * 40, "", None, "x" * 40, texts[0], "é" * 100]
     check(spark, texts, 40, 16)
-    check(spark, texts, 60, 45)
+    check(spark, texts, 60, 45, least=40 + 14)
+    check(spark, texts, 60, 20, least=30, crowd=2)  # every stretch of the parse is crowded
 
 
 def test_repeated_rows_and_ids(spark):
@@ -58,7 +63,36 @@ def test_a_common_passage_between_unique_texts(spark):
     rng = random.Random(9)
     word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
     passage = word(150)
-    check(spark, [word(rng.randint(0, 90)) + passage[rng.randint(0, 5) :] + word(rng.randint(0, 90)) for _ in range(80)], 100, 80)
+    texts = [word(rng.randint(0, 90)) + passage[rng.randint(0, 5) :] + word(rng.randint(0, 90)) for _ in range(80)]
+    check(spark, texts, 100, 80)
+    check(spark, texts, 150, 48, least=60, crowd=30)
+
+
+def test_neighbours_in_corpus_order_reach_the_longest_common_string():
+    rng = random.Random(12)
+    texts = [bytes(rng.choices(b"ab", k=40)) for _ in range(300)]
+    group = np.sort(np.array([rng.randrange(40) for _ in texts]))
+    lead = np.array([rng.randrange(12) for _ in texts])
+    found = {(int(m), d): int(c) for d, members, common in neighbours(group, [memoryview(t) for t in texts], lead, 12, 20) for m, c in zip(members, common)}
+    for m, t in enumerate(texts):
+        for d in range(lead[m] + 1):
+            best = -1
+            for k, u in enumerate(texts):
+                if k != m and group[k] == group[m] and lead[k] >= d and u[lead[k] - d : lead[k]] == t[lead[m] - d : lead[m]]:
+                    n = 0
+                    while n < 20 and lead[m] + n < 40 and lead[k] + n < 40 and t[lead[m] + n] == u[lead[k] + n]:
+                        n += 1
+                    best = max(best, n + d)
+            if best > d:
+                assert found[m, d] == best
+
+
+def test_runs_of_few_words_stay(spark):
+    prose = " ".join(random.Random(3).choices(["river", "stone", "of", "the", "morning"], k=40))
+    one = "x" + "".join(random.Random(4).choices("abcdefgh", k=300))
+    rows = [(1, f"{prose} one"), (2, f"two {prose}"), (3, f"{one} three"), (4, f"four {one}")]
+    got = {r.id: bytes(r.kept) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=100, words=30).collect()}
+    assert len(got[1]) < 10 and len(got[2]) < 10 and got[3].decode() == rows[2][1] and got[4].decode() == rows[3][1]
 
 
 def test_empty_table_and_long_text(spark):
