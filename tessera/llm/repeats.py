@@ -44,7 +44,9 @@ from tessera.llm.common import discard, ids_and_text, stored, text_key
 #: Bytes that a trigger looks at.
 GRAM = 8
 #: Members of a stretch of the parse that a task sorts, starts in a part of a phrase beyond that.
-CROWD, PARTS = 1 << 15, (18, 1)
+CROWD, PARTS = 1 << 11, (18, 1)
+#: Members that a task sorts together.
+BATCH = 1 << 13
 #: Fills what a text has no byte for: no byte of UTF-8.
 NONE = 0xFF
 _SPAN = ArrayType(StructType().add("begin", "integer").add("end", "integer"))
@@ -264,7 +266,7 @@ def _sorted_out(rows: DataFrame, left: DataFrame, length: int, least: int) -> Da
             key = batch.column(0).to_numpy()
             bounds = [0, *(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
             for a, b in zip(bounds, bounds[1:]):
-                if key[a] != now and count > CROWD // 4:
+                if key[a] != now and count > BATCH:
                     yield from solve(held)
                     held, count = [], 0
                 now = key[a]
