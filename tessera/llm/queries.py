@@ -121,7 +121,7 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = lambda c: F.expr(f"aggregate({c}, 0L, (a, s) -> a + s.end - s.begin)")
-    return remove_repeats(_table(spark, sf_dir, "documents"), length=400, passages=(240, 50)).select(
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=400, passages=(200, 50)).select(
         F.col("id").alias("doc_id"),
         F.length("text").cast("long").alias("n_bytes"),
         total("spans").alias("n_removed"),

@@ -30,14 +30,23 @@ def test_stages_in_order(spark, sf):
     assert cut.schema == docs.schema or cut.columns == docs.columns
     own = {r.doc_id: r for r in cut.collect()}
     data = {i: (t or "").encode() for i, t in kept.items()}
-    seen = Counter(d[k : k + 400] for d in data.values() for k in range(len(d) - 399))
+    seen = Counter(d[k : k + 200] for d in data.values() for k in range(len(d) - 199))
     for i, d in data.items():
+        at = [k for k in range(len(d) - 199) if seen[d[k : k + 200]] > 1]
+        runs = []
+        for k in at:
+            if runs and k <= runs[-1][1]:
+                runs[-1][1] = k + 200
+            else:
+                runs.append([k, k + 200])
         keep = bytearray([1]) * len(d)
-        for k in range(len(d) - 399):
-            if seen[d[k : k + 400]] > 1:
-                keep[k : k + 400] = bytes(400)
+        for x, y in runs:
+            if len(d[x:y].split()) >= 50:
+                keep[x:y] = bytes(y - x)
         assert own[i].text == bytes(c for c, k in zip(d, keep) if k).decode("utf-8", "ignore")
         assert own[i].n_chars == len(own[i].text)
+    windows = Counter(w for r in own.values() for w in {tuple(own_words[k : k + 50]) for own_words in [r.text.split()] for k in range(len(own_words) - 49)})
+    assert max(windows.values()) == 1  # no 50 words in a row are left in two documents
 
     cut.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.sql.warehouse.dir')}/cut")
     con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path.removeprefix('file:')}/*.parquet'")
