@@ -1,11 +1,12 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import xxhash
 
 from tessera.llm.common import connected_components
-from tessera.llm.simhash import fingerprint, simhash_dedup, simhash_fingerprints, simhash_links
+from tessera.llm.simhash import LONG, extended, fingerprint, flipped, paths, simhash_dedup, simhash_fingerprints, simhash_links, tallied
 
 
 def brute_fingerprint(text, words=3):
@@ -55,15 +56,30 @@ def test_links_of_chosen_fingerprints(spark):
     for b in base:
         for _ in range(6):
             fps.add(b ^ sum(1 << p for p in rng.sample(range(64), rng.randint(1, 4))))
-    dense = base[0] & ~0xFFFF  # one list of over PAIRWISE fingerprints
+    dense = base[0] & ~0xFFFF  # lists that stay long with six shared bytes
     fps |= {dense | rng.getrandbits(16) for _ in range(1500)}
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    edges = simhash_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
-    got = {r.node: r.component for r in connected_components(edges).collect()}
     links = [(a, b) for a, b in combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
     want = {k: v for k, v in brute_components(signed, links).items() if any(k in x for x in links)}
     groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
-    assert groups(got) == groups(want)
+    for long in (LONG, 8, 2):
+        edges = simhash_links(spark.createDataFrame([(f,) for f in signed], "fp long"), long=long)
+        assert groups({r.node: r.component for r in connected_components(edges).collect()}) == groups(want)
+
+
+def test_lists_split_by_further_bytes_hold_every_pair():
+    assert paths(1, 2) == [(0,), (1,), (2,)] and len(paths(6, 2)) == 28 and extended((1, 3), 2) == [(1, 3, 4)]
+    for depth in range(1, 7):
+        for shared in combinations(range(8), 6):
+            assert any(set(p) <= set(shared) for p in paths(depth, 2))
+
+
+def test_tally_and_flips_agree():
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 2**16, 600, dtype=np.uint64) | np.uint64(0xABCDEF << 40))
+    want = {(i, j) for i, j in combinations(range(len(fps)), 2) if int(fps[i] ^ fps[j]).bit_count() <= 2}
+    assert set(zip(*(x.tolist() for x in tallied(fps, np.array([0]), np.array([len(fps)]), 2)))) == want
+    assert set(zip(*(x.tolist() for x in flipped(fps, [0, 1], 2)))) == want
 
 
 def test_defined_cases(spark):
