@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,18 +48,26 @@ def _delete(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of the queries that are run here go as soon as each has ended."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: survives lost executors.
 
     The shuffle files behind it are deleted as soon as the table is complete.
     """
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = scratch_path(spark, name)
+    with freed_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.tessera_path = path
     return out
@@ -127,9 +136,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = checkpointed(pairs.distinct())
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        seen = both.groupBy("u").agg(
-            F.min("v").alias("m"), F.count("*").alias("n"), F.min(F.col("v") < F.col("u")).alias("below")
-        )
+        # a table of its own: Spark can split the join of a node with very many links then
+        seen = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         # A star forest: every node that has a smaller neighbour has that one only, and it is a root.
         if seen.where(F.expr("m < u AND n > 1")).isEmpty():
             break

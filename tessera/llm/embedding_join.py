@@ -45,16 +45,16 @@ def _units(column: pa.Array, dim: int, kind: str) -> np.ndarray:
 
 
 def _binary(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, str]:
-    """(id, vec) of the vectors that can link, as packed floats."""
+    """(id, vec) of all rows, vec as packed floats; null where a vector links with nothing."""
     double = "double" in vectors.schema[vec_col].dataType.simpleString()
     kind = "<f8" if double else "<f4"
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     finite = "NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)"
-    rows = rows.where(f"id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND {finite}")
+    rows = rows.select("id", F.expr(f"IF(id IS NOT NULL AND size(v) > 0 AND {finite}, v, NULL)").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [x.values.to_numpy(zero_copy_only=False).astype(kind).tobytes() for x in batch.column(1)]
+            packed = [x.values.to_numpy(zero_copy_only=False).astype(kind).tobytes() if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "vec"])
 
     return rows.mapInArrow(run, "id long, vec binary"), kind
@@ -230,13 +230,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     component_id: the smallest id reachable over links, itself included; kept: id = component_id.
     Equal vectors are linked, and worked out once. Vectors that are null, empty, zero or hold null
     or non-finite components link with nothing, nor do rows with a null id, whose component_id is
-    null and which are not kept. Repeated ids share a component. All vectors that can link must
-    have the same length. Other columns are ignored; an empty table gives an empty result.
+    null and which are not kept. Rows that repeat an id each have their own vector's links, and
+    link with each other if their vectors do. All vectors that can link must have the same length.
+    Other columns are ignored; an empty table gives an empty result.
     """
     rows, kind = _binary(vectors, id_col, vec_col)
     rows = stored(rows, "vectors")
-    classes = stored(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vector-classes")
-    # a repeated id with different vectors: classes are told apart by number
+    # one row for each vector, told apart by a number, since ids may repeat
+    classes = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     sizes = [r[0] for r in classes.select(F.length("vec")).distinct().limit(2).collect()]
     if len(sizes) > 1:
         raise ValueError("vectors of different lengths can't be compared")
@@ -245,14 +247,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     ties = connected_components(found.select(F.col("id").alias("src"), F.col("tied").alias("dst")))
     known = classes.join(links, "id", "left").join(ties, F.col("id") == F.col("node"), "left").select(
-        "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
-    by_id = rows.join(known, "vec").select("id", "n_links", "component_id")
-    all_ids = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"))
-    linked = by_id.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    return all_ids.join(linked, "id", "left").select(
-        "id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(False)).alias("kept"),
+        "vec", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")
     )
+    known = stored(known, "vector-known")
+    names = stored(known.groupBy("component").agg(F.min("least").alias("component_id")), "vector-names")
+    known = stored(known.join(names, "component").select("vec", "n_links", "component_id"), "vector-named")
+    by_row = rows.join(known, "vec", "left")
+    component = F.coalesce("component_id", "id")
+    return by_row.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -11,9 +11,6 @@ from pyspark.sql import Window
 
 from tessera.llm.common import SPACE_CLASS, free_name, stored
 
-#: Lengths up to this are told apart one by one in the histogram, longer ones to one part in 256,
-#: so that it has some 40 thousand rows at most, however long texts get.
-FINE = 32_768
 #: Rows a task numbers; the slices follow the number of rows.
 SLICE = 20_000
 
@@ -72,35 +69,29 @@ def pack(rows: DataFrame, tokens_col: str, order_cols: list[str], buckets: int =
     be short. A null length counts as 0, and a length of 0 is a sequence without tokens. Columns of
     rows with these names are replaced. An empty table gives an empty result.
 
-    The driver gets the histogram (see FINE) and a row for each slice and bucket. Rows are
-    numbered in slices of a range partitioning, so no bucket is ever gathered in one task.
+    The driver gets the histogram: one row for each different length, the square of whose number
+    is at most twice the tokens of all rows. Rows are numbered in slices of a range partitioning,
+    ties dealt out by their number in the input, so no bucket is ever gathered in one task.
     """
     names = ["bucket", "bucket_tokens", "batch", "slot"]
     kept = [c for c in rows.columns if c.lower() not in names]
     length = free_name("_tokens", kept)
     rows = rows.select(*(f"`{c}`" for c in kept), F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(0)).alias(length))
-    step = F.greatest(F.lit(1), F.expr(f"CAST(power(2, floor(log2(greatest({length}, 1)))) AS BIGINT)") / 256).cast("long")
-    coarse = F.when(F.col(length) <= FINE, F.col(length)).otherwise(F.ceil(F.col(length) / step).cast("long") * step)
-    rows = rows.withColumn(length, coarse)
     histogram = sorted((r[0], r[1]) for r in rows.groupBy(length).count().collect())
     bounds, _ = optimal_buckets([x for x, _ in histogram], [c for _, c in histogram], buckets)
     slices = max(1, -(-sum(c for _, c in histogram) // SLICE))
     bucket = F.lit(0)
     for b in bounds[:-1]:
         bucket = bucket + F.when(F.col(length) > b, 1).otherwise(0)
-    part, row, before = (free_name(f"_{x}", kept) for x in ("part", "row", "before"))
-    order = [F.col(f"`{c}`").asc_nulls_first() for c in order_cols]
-    sliced = rows.withColumn("bucket", bucket).repartitionByRange(slices, "bucket", *order).withColumn(part, F.spark_partition_id())
-    sliced = stored(sliced, "packing")
-    sizes = sorted((r["bucket"], r[part], r["count"]) for r in sliced.groupBy("bucket", part).count().collect())
-    starts, at = [], 0
-    for k, (b, p, n) in enumerate(sizes):
-        at = 0 if k == 0 or sizes[k - 1][0] != b else at
-        starts.append((b, p, at))
-        at += n
-    starts = rows.sparkSession.createDataFrame(starts, f"bucket int, {part} int, {before} long")
+    part, row, before, tie = (free_name(f"_{x}", kept) for x in ("part", "row", "before", "tie"))
+    order = [*(F.col(f"`{c}`").asc_nulls_first() for c in order_cols), F.col(tie)]
+    sliced = rows.withColumn(tie, F.monotonically_increasing_id()).withColumn("bucket", bucket)
+    sliced = stored(sliced.repartitionByRange(slices, "bucket", *order).withColumn(part, F.spark_partition_id()), "packing")
+    sizes = sliced.groupBy("bucket", part).count()  # a row for each slice and bucket
+    earlier = Window.partitionBy("bucket").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(sizes.select("bucket", part, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before)), "packing-starts")
     numbered = sliced.withColumn(row, F.row_number().over(Window.partitionBy("bucket", part).orderBy(*order)))
-    numbered = numbered.join(F.broadcast(starts), ["bucket", part])  # slices + buckets rows at most
+    numbered = numbered.join(starts, ["bucket", part])
     bound = F.element_at(F.array(*(F.lit(b).cast("long") for b in bounds or [0])), F.col("bucket") + 1)
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(bound, F.lit(1)))).cast("long")
     place = F.col(before) + F.col(row) - 1

@@ -77,7 +77,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_sql(rows: str, buckets: int = 16, budget: int = 65_536) -> str:
-    """CTEs ending in `packed`, for a table rows (doc_id, n_tokens) without lengths over FINE."""
+    """CTEs ending in `packed`, for a table rows (doc_id, n_tokens)."""
     return f"""
 p_hist AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY n_tokens) AS i, n_tokens AS x, count(*) AS c FROM {rows} GROUP BY n_tokens

@@ -203,12 +203,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stored(simhash_fingerprints(docs, id_col, text_col, words), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(simhash_links(own.select("fp"), bits))
-    own = own.join(roots, own["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
-    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only fingerprints that are tied to others need the second look.
-    classes = own.join(named, "root").select("fp", "component_id")
+    own = stored(own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "rooted")
+    named = stored(own.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    # tables of their own, so that Spark can split the joins of a very large class
+    classes = stored(own.join(named, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -62,12 +62,14 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.01])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, near_vectors(df).collect())) == [(5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False)]
     assert near_vectors(df.limit(0)).count() == 0
+    unlike = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (1, [1.0, 0.1, 0.0]), (1, [0.0, 0.0, 1.0]), (0, [0.0, 0.1, 1.0]), (2, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_vectors(unlike).collect())) == [(0, 1, 0, True), (1, 1, 0, False), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
 def test_a_pair_is_counted_once_whatever_blocks_find_it(spark):
     rows = clustered(200, 24, 3)
     packed, kind = _binary(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    got = link_vectors(packed.withColumn("weight", F.lit(1).cast("long")), kind, 24, tile=30)
+    got = link_vectors(packed.where("vec IS NOT NULL").withColumn("weight", F.lit(1).cast("long")), kind, 24, tile=30)
     want = brute(rows)
     assert {r.id: r.n for r in got.groupBy("id").agg(F.sum("links").alias("n")).where("n > 0").collect()} == {i: n for i, (n, _, _) in want.items() if n}
 

@@ -4,7 +4,7 @@ import random
 import duckdb
 import pytest
 
-from tessera.llm.packing import FINE, optimal_buckets, pack, with_tokens
+from tessera.llm.packing import optimal_buckets, pack, with_tokens
 from tessera.llm.queries import op4_packing, oracle_sql
 
 
@@ -31,7 +31,7 @@ def test_no_lengths():
 def test_batches_keep_the_budget_and_every_row(spark):
     rng = random.Random(0)
     rows = [(rng.randint(0, 300) if i % 7 else None, None if i % 50 == 3 else int(rng.paretovariate(1) * 5) + 1, "b") for i in range(3000)]
-    rows += [(5, FINE * 3 + 12345, "b"), (6, 0, "b")]
+    rows += [(5, 110_649, "b"), (5, 110_650, "b"), (6, 0, "b")]
     df = spark.createDataFrame(rows, "doc_id long, n long, batch string").selectExpr("*", "1 AS _tokens", "2 AS _row")
     got = pack(df, "n", ["doc_id"], buckets=5, budget=256).collect()
     assert len(got) == len(rows) and sorted((r.doc_id or -1, r.n or -1) for r in got) == sorted((r[0] or -1, r[1] or -1) for r in rows)
@@ -60,3 +60,18 @@ def test_query_equals_sql(spark, sf):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.sql(oracle_sql()["op4_packing"])
     assert sorted(map(tuple, op4_packing(spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_long_lengths_are_told_apart(spark):
+    lengths = [40_000 + 7 * k for k in range(40)] + [900_001, 900_002]
+    got = pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long"), "n", ["doc_id"], buckets=6, budget=10**6).collect()
+    bounds, least = optimal_buckets(lengths, [1] * len(lengths), 6)
+    assert {r.bucket_tokens for r in got} == set(bounds) <= set(lengths) and sum(r.bucket_tokens - r.n for r in got) == least
+
+
+def test_equal_keys_fill_many_slices(spark, monkeypatch):
+    import tessera.llm.packing as packing
+
+    monkeypatch.setattr(packing, "SLICE", 50)
+    got = pack(spark.range(1000).selectExpr("CAST(NULL AS LONG) AS doc_id", "5L AS n"), "n", ["doc_id"], budget=35).collect()
+    assert sorted((r.batch, r.slot) for r in got) == [(k // 7, k % 7) for k in range(1000)]
