@@ -9,7 +9,8 @@ workers and the model may be larger than their memory.
 
 Counts travel in blocks: arrays of keys and counts for one bucket, added up in each task before
 they are shuffled. So a frequent word makes one entry a block however often it occurs, buckets are
-even, and the number of buckets follows the size of the corpus.
+even, and the number of buckets follows the size of the corpus. Counts are kept in the least
+number of bytes that holds the largest of their file.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ids_and_text, scratch_path
+from tessera.llm.common import freed_shuffles, ids_and_text, scratch_path
 
 #: Spreads bigrams over the key space; odd, so it has an inverse modulo 2**64.
 SPREAD = 0x9E3779B97F4A7C15
@@ -62,6 +63,17 @@ def _read(path: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r")
 
 
+def _write_counts(path: str, counts: np.ndarray) -> None:
+    """As <path>-<bytes of a count>."""
+    most = int(counts.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    _write(f"{path}-{width}", counts.astype(f"<u{width}"))
+
+
+def _read_counts(path: str) -> np.ndarray:
+    return next((_read(f"{path}-{w}", f"<u{w}") for w in (1, 2, 4, 8) if os.path.exists(f"{path}-{w}")), np.empty(0, "<u1"))
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words with A-Z lower-cased; only ASCII white space parts them."""
     return text.lower().split()
@@ -172,7 +184,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.n
 
 
 def _gathered(blocks: DataFrame, bits: int) -> DataFrame:
-    return blocks.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "part")
+    """A task for each bucket; the first also has what is for none."""
+    return blocks.repartitionById(1 << bits, F.greatest("bucket", F.lit(0))).sortWithinPartitions("bucket", "part")
 
 
 def _count_words(texts: DataFrame, folder: str, bits: int) -> int:
@@ -199,11 +212,12 @@ def _count_words(texts: DataFrame, folder: str, bits: int) -> int:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, _, keys, counts in _buckets(batches):
             _write(f"{folder}/word-{bucket}.key", keys)
-            _write(f"{folder}/word-{bucket}.count", counts)
+            _write_counts(f"{folder}/word-{bucket}.count", counts)
             yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())])], ["n"])
 
     done = _gathered(texts.mapInArrow(count, _BLOCK), bits).mapInArrow(write, "n long")
-    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with freed_shuffles(texts.sparkSession):
+        return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def _count_bigrams(texts: DataFrame, folder: str, bits: int, size: int) -> tuple[list[int], list[int]]:
@@ -244,7 +258,7 @@ def _count_bigrams(texts: DataFrame, folder: str, bits: int, size: int) -> tuple
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, _, keys, counts in _buckets(batches):
             _write(f"{folder}/bigram-{bucket}.key", keys)
-            _write(f"{folder}/bigram-{bucket}.count", np.minimum(counts, 2**32 - 1).astype("<u4"))
+            _write_counts(f"{folder}/bigram-{bucket}.count", counts)
             pairs = keys * np.uint64(UNSPREAD)
             before, after = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
             one = np.ones(len(keys), np.uint64)
@@ -267,13 +281,14 @@ def _count_bigrams(texts: DataFrame, folder: str, bits: int, size: int) -> tuple
                 continue
             dense = np.zeros(width, "<u8")
             dense[(ids - np.uint64(bucket * width)).astype(np.int64)] = counts
-            _write(f"{folder}/{part}-{bucket}", dense)
+            _write_counts(f"{folder}/{part}-{bucket}", dense)
             if part == "follows":
                 yield pa.RecordBatch.from_arrays([pa.array(["words"] * 4), pa.array([1, 2, 3, 4]), pa.array([int((counts == k).sum()) for k in (1, 2, 3, 4)])], ["what", "k", "n"])
 
     counted = _gathered(texts.mapInArrow(count, _BLOCK), bits).mapInArrow(write, _BLOCK)
     done = _gathered(counted, bits).mapInArrow(write_numbered, "what string, k long, n long")
-    found = {(r.what, r.k): r.n for r in done.groupBy("what", "k").agg(F.sum("n").alias("n")).collect()}
+    with freed_shuffles(texts.sparkSession):
+        found = {(r.what, r.k): r.n for r in done.groupBy("what", "k").agg(F.sum("n").alias("n")).collect()}
     return [found.get(("bigrams", k), 0) for k in (1, 2, 3, 4)], [found.get(("words", k), 0) for k in (1, 2, 3, 4)]
 
 
@@ -314,6 +329,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     os.makedirs(folder)
     n = _count_words(texts, folder, bits)
     size = sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x.startswith("word-") and x.endswith(".key")) // 8
+    if size >= 2**32 - 1:
+        raise ValueError(f"a bigram holds two word numbers of 32 bits, and the corpus has {size} different words")
     pairs, follows = _count_bigrams(texts, folder, bits, size)
     bigrams = sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x.startswith("bigram-") and x.endswith(".key")) // 8
     model = Model(folder, bits, n, size, tuple(discounts(pairs)), tuple(discounts(follows)), bigrams)
@@ -330,9 +347,9 @@ class Scorer:
         self.words = Vocabulary(f, b)
         self.bigrams = _Arrays(f, "bigram", b)
         self.width = max(1, -(-(model.size + 1) // (1 << b)))
-        self.of = {x: [_read(f"{f}/{x}-{k}", "<u8") for k in range(1 << b)] for x in ("total", "n1", "n2", "n3", "follows")}
-        self.word_counts = [_read(f"{f}/word-{k}.count", "<u8") for k in range(1 << b)]
-        self.bigram_counts = [_read(f"{f}/bigram-{k}.count", "<u4") for k in range(1 << b)]
+        self.of = {x: [_read_counts(f"{f}/{x}-{k}") for k in range(1 << b)] for x in ("total", "n1", "n2", "n3", "follows")}
+        self.word_counts = [_read_counts(f"{f}/word-{k}.count") for k in range(1 << b)]
+        self.bigram_counts = [_read_counts(f"{f}/bigram-{k}.count") for k in range(1 << b)]
         d = np.array([0.0, *model.word_discounts])
         several = np.zeros(4)
         for part in self.of["follows"]:

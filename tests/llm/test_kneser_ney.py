@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm.kneser_ney import Scorer, discounts, score, train
+from tessera.llm.kneser_ney import Scorer, _read_counts, _write_counts, discounts, score, train
 from tessera.llm.queries import op1_kneser_ney, oracle_sql
 
 
@@ -125,3 +125,11 @@ def test_discounts():
     assert discounts([0, 0, 0, 0]) == [0.5, 1.0, 1.5]
     y = 100 / (100 + 2 * 40)
     assert discounts([100, 40, 20, 10]) == pytest.approx([1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.5])
+
+
+def test_counts_of_any_size_are_kept(tmp_path):
+    for k, most in enumerate((0, 255, 256, 2**16, 2**32 - 1, 2**32, 2**40)):
+        counts = np.array([1, most], np.uint64)
+        _write_counts(f"{tmp_path}/{k}", counts)
+        assert _read_counts(f"{tmp_path}/{k}").tolist() == [1, most]
+    assert len(_read_counts(f"{tmp_path}/none")) == 0
