@@ -78,6 +78,22 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df.tessera_path)
 
 
+class Tables:
+    """The tables that an operator stores on its way, to be deleted together."""
+
+    def __init__(self) -> None:
+        self.kept: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.kept.append(stored(df, name))
+        return self.kept[-1]
+
+    def discard(self) -> None:
+        for df in self.kept:
+            discard(df)
+        self.kept.clear()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)

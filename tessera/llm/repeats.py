@@ -291,14 +291,15 @@ def repeated_spans(rows: DataFrame, length: int = 400, least: int | None = None,
     phrases = stored(_phrases(rows, length, least, stretch), "phrases")
     # a table of its own: a join of two plain exchanges is one whose skew Spark can split
     again = stored(phrases.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
-    live = stored(phrases.join(again, "key"), "live")
+    live = stored(phrases.join(again.hint("merge"), "key"), "live")
     discard(phrases)
+    discard(again)
     spans = []
     for part in (*PARTS, None):
         # the rows of each kind; those that occur once may still equal a part of another kind
         kinds = live.groupBy("key", "whole").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct("k1", "k2", "first", "last", "lead", "end")).alias("one"))
         kinds = stored(kinds, "kinds")
-        settled = live.where("single").join(kinds.where("n > 1 AND single").select("key", "whole"), ["key", "whole"])
+        settled = live.where("single").join(kinds.where("n > 1 AND single").select("key", "whole").hint("merge"), ["key", "whole"])
         if part is None:  # the key of a single string is the string: what shares it is repeated
             known = stored(kinds.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "known")
             spans.append(stored(live.where("single").join(known, "key").select("k1", "k2", "first", "last", F.lit(False).alias("long")), "spans"))
@@ -310,12 +311,14 @@ def repeated_spans(rows: DataFrame, length: int = 400, least: int | None = None,
             break
         mixed = kinds.groupBy("key").agg(F.count("*").alias("members"), F.max(F.expr("n = 1 AND single")).alias("loose")).where("members > 1 AND loose")
         mixed = stored(mixed.select("key", "members"), "mixed")
-        left = kinds.join(mixed, "key").select("key", "members", "one.*", F.expr("n = 1 AND single").alias("single"))
+        left = kinds.join(mixed.hint("merge"), "key").select("key", "members", "one.*", F.expr("n = 1 AND single").alias("single"))
         left = stored(left, "left")
+        discard(mixed)
         spans.append(stored(_sorted_out(rows, left.where(F.col("members") <= crowd), length, least), "spans"))
         discard(kinds)
         crowded = left.where(F.col("members") > crowd)
         if crowded.isEmpty():
+            discard(left)
             break
         live = stored(_parts(rows, crowded, length, least, part), "parts")
         discard(left)
