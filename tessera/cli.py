@@ -37,6 +37,10 @@ def parser() -> argparse.ArgumentParser:
     bench.add_argument("--dataset", help="a folder with *base.fvecs and *query.fvecs")
     for name, default in (("--dim", 128), ("--base", 10_000), ("--queries", 100)):
         bench.add_argument(name, type=int, default=default)
+    for name, default in (("--seed", 1), ("--warmup", 1), ("--batches", 10), ("--m", 16), ("--ef-construction", 200)):
+        bench.add_argument(name, type=int, default=default)
+    bench.add_argument("--validate", type=float, help="the least recall; a lower one is an error")
+    bench.add_argument("--against", help="a report in JSON to compare with")
     for verb in VERBS:
         own = command(verb)
         if verb in ("delete", "get", "replace-text", "replace-vec"):
@@ -105,37 +109,92 @@ def repl(collection, lines, out, args) -> None:
 
 
 def run_benchmark(spark, args) -> dict:
+    """Builds and searches a graph, with the time of each phase and percentiles over batches of queries."""
     import time
 
     from pyspark.sql import functions as F
 
     from tessera.functions.vectors import random_unit_vectors
-    from tessera.operators import exact, graph
+    from tessera.operators import exact, graph, report
     from tessera.sources.vectorfiles import read_dataset
 
-    if args.dataset:
-        base, queries, _ = read_dataset(spark, args.dataset)
-    else:
-        base = random_unit_vectors(spark, args.base, args.dim, 1)
-        queries = random_unit_vectors(spark, args.queries, args.dim, 2).withColumnRenamed("id", "qid")
-    base, queries = base.cache(), queries.cache()
-    n, q, ef = base.count(), queries.count(), args.ef or 100
-    began = time.perf_counter_ns()
-    edges = graph.build_graph(base).cache()
-    edges.count()
-    built = time.perf_counter_ns() - began
-    began = time.perf_counter_ns()
-    found = graph.graph_search(edges, base, queries, args.top_k, ef).cache()
-    found.count()
-    searched = time.perf_counter_ns() - began
-    rate = exact.recall(exact.knn_join(base, queries, args.top_k), found).agg(F.avg("recall")).first()[0]
-    return {
-        "schema": 2,
-        "params": {"base": n, "queries": q, "k": args.top_k, "ef_search": ef},
-        "build": {"wall_ns": built, "per_s": n * 1e9 / built},
-        "search": {"wall_ns": searched, "per_s": q * 1e9 / searched},
+    phases = {}
+
+    def timed(name: str, work):
+        began = time.perf_counter_ns()
+        out = work()
+        phases[name] = time.perf_counter_ns() - began
+        return out
+
+    def load():
+        truth = None
+        if args.dataset:
+            base, queries, truth = read_dataset(spark, args.dataset)
+        else:
+            base = random_unit_vectors(spark, args.base, args.dim, args.seed)
+            queries = random_unit_vectors(spark, args.queries, args.dim, args.seed + 1).withColumnRenamed("id", "qid")
+        base, queries = base.cache(), queries.cache()
+        return base, queries, truth, base.count(), queries.count(), len(base.first().vec)
+
+    base, queries, truth, n, q, dim = timed("load", load)
+    k, ef = args.top_k, args.ef or 100
+    edges = graph.build_graph(base, args.m, args.ef_construction, args.seed).cache()
+    timed("build", edges.count)
+    search = lambda some: graph.graph_search(edges, base, some, k, ef)
+    for _ in range(args.warmup):
+        timed("warm-up", search(queries).count)
+    found = search(queries).cache()
+    timed("search", found.count)
+    batches = max(1, min(args.batches, q))
+    samples = []
+    for part in range(batches):
+        some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == part)
+        began = time.perf_counter_ns()
+        search(some).count()
+        samples.append((time.perf_counter_ns() - began,))
+    width, most = 1_000_000, 600_000  # a millisecond to ten minutes
+    histogram = report.histogram(spark.createDataFrame(samples, "ns long"), width, most).cache()
+    shares = {r.share: r.ns for r in report.percentiles(histogram, width, [0.5, 0.9, 0.95, 0.99]).collect()}
+    whole = report.summary(histogram, width, most).first()
+    if truth is not None:
+        truth = truth.select(F.col("id").alias("qid"), F.posexplode(F.slice("vec", 1, k)).alias("rk", "id")).select("qid", "rk", F.col("id").cast("long").alias("id"))
+    exactly = timed("truth", lambda: (truth if truth is not None else exact.knn_join(base, queries, k)).cache())
+    rate = exact.recall(exactly, found).agg(F.avg("recall")).first()[0]
+    per_s = lambda ops, ns: spark.range(1).select(report.ops_per_second(F.lit(ops), F.lit(ns)).alias("x")).first().x
+    out = {
+        "schema": 3,
+        "params": {"dim": dim, "base": n, "queries": q, "k": k, "ef_search": ef, "ef_construction": args.ef_construction, "m": args.m, "seed": args.seed, "warmup": args.warmup, "batches": batches},
+        "phases_ns": phases,
+        "build": {"wall_ns": phases["build"], "per_s": per_s(n, phases["build"])},
+        "search": {"wall_ns": phases["search"], "per_s": per_s(q, phases["search"])},
+        "batch_latency_ns": {f"p{round(x * 100)}": shares[x] for x in sorted(shares)} | {"mean": whole.mean_ns, "max": whole.max_ns, "overflow": whole.overflow},
         "recall_at_k": rate,
     }
+    if args.validate is not None:
+        out["valid"] = rate >= args.validate
+    if args.against:
+        with open(args.against, encoding="utf-8") as file:
+            other = json.load(file)
+        differ = report.misaligned(out["params"], other["params"])
+        words = {x: report.ratio_words(out[x]["per_s"], other[x]["per_s"]) for x in ("build", "search")}
+        out["against"] = {"differ": differ} if differ else words
+    return out
+
+
+def pretty(found: dict) -> str:
+    """The report as lines of `name  value`."""
+    lines = []
+
+    def walk(prefix: str, value) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                walk(f"{prefix}.{k}" if prefix else k, v)
+        else:
+            lines.append((prefix, f"{value:.4f}" if isinstance(value, float) else str(value)))
+
+    walk("", found)
+    wide = max(len(k) for k, _ in lines)
+    return "\n".join(f"{k:<{wide}}  {v}" for k, v in lines)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -148,8 +207,9 @@ def main(argv: list[str] | None = None) -> int:
     from tessera.sources.vectorfiles import read_texts, vector_argument
 
     if args.command == "benchmark":
-        print(json.dumps(run_benchmark(SparkSession.builder.getOrCreate(), args)))
-        return 0
+        found = run_benchmark(SparkSession.builder.getOrCreate(), args)
+        print(json.dumps(found) if args.format == "json" else pretty(found))
+        return 0 if found.get("valid", True) else 1
     try:
         config = Config.load(args.config)
     except (ConfigError, OSError) as e:
@@ -159,14 +219,15 @@ def main(argv: list[str] | None = None) -> int:
     model = None if config.embedder.provider == "hash" else HttpModel(config.embedder.base_url, config.embedder.model)
     try:
         with locked(config.storage.data_dir):
-            c = Collection(spark, f"file://{Path(config.storage.data_dir).resolve()}", config.embedder.dim, config.storage.max_vectors, config.server.max_text_bytes, model, ef_construction=config.index.ef_construction, max_ef=config.index.max_ef, seed=config.index.seed)
+            c = Collection(spark, f"file://{Path(config.storage.data_dir).resolve()}", config.embedder.dim, config.storage.max_vectors, config.server.max_text_bytes, model, ef_construction=config.index.ef_construction, max_ef=config.index.max_ef, seed=config.index.seed, snapshot_every=config.server.snapshot_every, normalize=config.embedder.normalize)
+            c.verify()
             if args.command == "build":
                 from pyspark.sql import functions as F
 
                 from tessera.functions.embedders import embed
 
-                rows = embed(read_texts(spark, args.texts).orderBy("id"), config.embedder.dim, model)
-                print(c.insert_many(rows.select("vec", F.col("name"))), c.snapshot())
+                rows = embed(read_texts(spark, args.texts).orderBy("id"), config.embedder.dim, model, normalize_to=config.embedder.normalize)
+                print(c.build(rows.select("vec", F.col("name"))))
             elif args.command == "query":
                 repl(c, sys.stdin, sys.stdout, args)
             elif args.command in ("ping", "stats", "snapshot"):
@@ -174,7 +235,8 @@ def main(argv: list[str] | None = None) -> int:
             elif args.command == "delete":
                 c.delete(args.id)
             elif args.command == "get":
-                print(json.dumps(dict(zip(("name", "vec"), c.get(args.id)))))
+                name, vec = c.get(args.id)
+                print(f"{args.id}\t{name}\t{','.join(map(str, vec))}" if args.format == "tsv" else json.dumps({"name": name, "vec": vec}))
             else:
                 verb, _, kind = args.command.partition("-")
                 value = args.text if kind == "text" else vector_argument(spark, c.dim, args.vec, args.vec_file)

@@ -17,4 +17,5 @@ OutOfCapacity = _kind("OutOfCapacity", "out_of_capacity")
 TextTooLong = _kind("TextTooLong", "text_too_long")
 EmbedFailed = _kind("EmbedFailed", "embed_failed")
 SlotOccupied = _kind("SlotOccupied", "slot_occupied")
+ReplayDivergent = _kind("ReplayDivergent", "replay_divergent")
 Busy = _kind("Busy", "busy")

@@ -6,6 +6,7 @@ import json
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -17,9 +18,27 @@ from tessera.functions.vectors import hash_embedding
 Model = Callable[[list[str]], list[list[float]]]
 
 
-def embed(rows: DataFrame, dim: int, model: Model | None = None, text_col: str = "text", batch: int = 64) -> DataFrame:
+#: How far from 1 the length of a vector that a search takes as it is may be.
+TOLERANCE = 1e-3
+
+
+def _unit(vecs: list[list[float]], normalize_to: bool) -> np.ndarray:
+    """The vectors at length 1: brought to it, or refused if they are not."""
+    matrix = np.array(vecs, np.float64)
+    length = np.linalg.norm(matrix, axis=1)
+    if not np.isfinite(matrix).all() or (length == 0).any():
+        raise EmbedFailed("the model gave a vector that is zero or not finite")
+    if normalize_to:
+        return (matrix / length[:, None]).astype(np.float32)
+    if (abs(length - 1) > TOLERANCE).any():
+        raise EmbedFailed(f"the model gave a vector of length {length[abs(length - 1).argmax()]:.6f}, not 1")
+    return matrix.astype(np.float32)
+
+
+def embed(rows: DataFrame, dim: int, model: Model | None = None, text_col: str = "text", batch: int = 64, normalize_to: bool = True) -> DataFrame:
     """rows with `vec`. Without a model the hash embedding, which stays in the JVM; with one, each
-    task calls it for `batch` texts at once. A vector of another length than dim is an error."""
+    task calls it for `batch` texts at once. A vector of another number of elements than dim is an
+    error, and so is one of another length than 1, unless normalize_to brings all to it."""
     if model is None:
         return rows.withColumn("vec", hash_embedding(text_col, dim).cast("array<float>"))
     rows = rows.drop("vec")
@@ -32,7 +51,8 @@ def embed(rows: DataFrame, dim: int, model: Model | None = None, text_col: str =
                 vecs = model([t or "" for t in part.column(text_col).to_pylist()])
                 if len(vecs) != part.num_rows or any(len(v) != dim for v in vecs):
                     raise EmbedFailed(f"the model gave {len(vecs)} vectors for {part.num_rows} texts, or not {dim} numbers each")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vecs, pa.list_(pa.float32()))], [*part.schema.names, "vec"])
+                unit = list(_unit(vecs, normalize_to)) if vecs else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(unit, pa.list_(pa.float32()))], [*part.schema.names, "vec"])
 
     return rows.mapInArrow(run, out)
 

@@ -13,8 +13,10 @@ from pyspark.sql import Window
 from tessera.errors import DimMismatch
 from tessera.functions.vectors import cosine_normalized
 
-#: Bytes of query vectors that are sent to every task at once; larger query sets go in blocks.
+#: Bytes of query vectors that are sent to every task; more are joined in the cluster, in blocks of so many.
 QUERY_BYTES = 64 << 20
+#: Bytes of distances that a task works out at once.
+STEP_BYTES = 64 << 20
 
 
 def live(vectors: DataFrame) -> DataFrame:
@@ -49,51 +51,81 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(dist, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
+class _Nearest:
+    """The k nearest so far of each of some queries, whatever base rows come."""
+
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int):
+        self.qids, self.matrix, self.k = qids, matrix, k
+        self.step = min(4096, max(64, STEP_BYTES // (8 * 1024)))  # base rows at once
+        self.rows = max(1, STEP_BYTES // (8 * (self.step + k)))  # queries at once
+        self.parts = [(np.empty((len(qids[lo : lo + self.rows]), 0)), np.empty((len(qids[lo : lo + self.rows]), 0), np.int64)) for lo in range(0, len(qids), self.rows)]
+
+    def add(self, ids: np.ndarray, base: np.ndarray) -> None:
+        for n, (dist, near) in enumerate(self.parts):
+            new = 1 - self.matrix[n * self.rows : (n + 1) * self.rows] @ base.T
+            new, own = _best(new, np.broadcast_to(ids, new.shape), self.k)
+            self.parts[n] = _best(np.hstack([dist, new]), np.hstack([near, own]), self.k)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for n, (dist, near) in enumerate(self.parts):
+            qids = self.qids[n * self.rows : (n + 1) * self.rows]
+            step = max(1, 1_000_000 // max(1, dist.shape[1]))
+            for lo in range(0, len(qids), step):
+                d, i = dist[lo : lo + step], near[lo : lo + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[lo : lo + step], d.shape[1])), pa.array(i.ravel()), pa.array(d.ravel())], ["qid", "id", "dist"])
+
+
+_FOUND = "qid long, id long, dist double"
+
+
 def knn_join(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, rk, id, dist): for each row (qid, vec) of queries the k nearest live rows of base.
 
-    Ties go by id; distances are sums in DOUBLE. Each task compares its part of base with a block
-    of the queries, QUERY_BYTES at most, and keeps k rows a query, so what is shuffled is k rows
-    for each query and task. A query set that is larger goes block by block.
+    Ties go by id; distances are sums in DOUBLE. Up to QUERY_BYTES of queries go to every task, which
+    compares its part of base with them and keeps k rows a query, so what is shuffled is k rows for
+    each query and task. More queries are cut into blocks, and so is base, and a task gets a block
+    of each; nothing passes the driver then. A task works out STEP_BYTES of distances at once.
     """
-    spark = base.sparkSession
     shape = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     n, dim = shape["n"], shape["dim"] or 1
     base = live(base).select("id", "vec")
-    blocks = max(1, -(-n * dim * 8 // QUERY_BYTES))
-    numbered = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    parts = []
-    for block in range(blocks):
-        own = (numbered if blocks == 1 else numbered.where(F.col("block") == block)).select("qid", "vec").toArrow()
-        qids = own.column(0).to_numpy().astype(np.int64)
-        matrix = _matrix(own.column(1).combine_chunks(), dim)
-        sent = spark.sparkContext.broadcast((qids, matrix))
-
-        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, matrix = sent.value
-            dist, ids = np.empty((len(qids), 0)), np.empty((len(qids), 0), np.int64)
-            for batch in batches:
-                if not len(qids):
-                    break
-                for lo in range(0, batch.num_rows, 4096):
-                    part = batch.slice(lo, 4096)
-                    new = 1 - matrix @ _matrix(part.column(1), matrix.shape[1]).T
-                    own = np.broadcast_to(part.column(0).to_numpy().astype(np.int64), new.shape)
-                    new, own = _best(new, own, k)
-                    dist, ids = _best(np.hstack([dist, new]), np.hstack([ids, own]), k)
-            step = max(1, 1_000_000 // max(1, dist.shape[1]))
-            for lo in range(0, len(qids), step):
-                d, i = dist[lo : lo + step], ids[lo : lo + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[lo : lo + step], d.shape[1])), pa.array(i.ravel()), pa.array(d.ravel())], ["qid", "id", "dist"])
-
-        parts.append(base.mapInArrow(nearest, "qid long, id long, dist double"))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.union(more)
+    found = (_sent if n * dim * 8 <= QUERY_BYTES else _joined)(base, queries.select("qid", "vec"), n, dim, k)
     order = Window.partitionBy("qid").orderBy("dist", "id")
     return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("qid", "rk", "id", "dist")
 
 
+def _sent(base: DataFrame, queries: DataFrame, n: int, dim: int, k: int) -> DataFrame:
+    own = queries.toArrow()
+    sent = base.sparkSession.sparkContext.broadcast((own.column(0).to_numpy().astype(np.int64), _matrix(own.column(1).combine_chunks(), dim)))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Nearest(*sent.value, k)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, found.step):
+                part = batch.slice(lo, found.step)
+                found.add(part.column(0).to_numpy().astype(np.int64), _matrix(part.column(1), dim))
+        yield from found.batches()
+
+    return base.mapInArrow(nearest, _FOUND)
+
+
+def _joined(base: DataFrame, queries: DataFrame, n: int, dim: int, k: int) -> DataFrame:
+    size = max(1, QUERY_BYTES // (8 * dim))  # rows in a block
+    many, parts = -(-n // size), max(1, -(-base.count() // size))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(many)).cast("int").alias("q"), every(parts).alias("b"))
+    held = base.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"), every(many).alias("q"))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _Nearest(left.column("qid").to_numpy().astype(np.int64), _matrix(left.column("vec").combine_chunks(), dim), k)
+        for lo in range(0, right.num_rows, found.step):
+            part = right.slice(lo, found.step)
+            found.add(part.column("id").to_numpy().astype(np.int64), _matrix(part.column("vec").combine_chunks(), dim))
+        return pa.Table.from_batches(list(found.batches()), pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())]))
+
+    return asked.groupBy("q", "b").cogroup(held.groupBy("q", "b")).applyInArrow(nearest, _FOUND)
+
+
 def with_names(results: DataFrame, vectors: DataFrame) -> DataFrame:
     """results with the name of each id; one that has none is ''."""
     names = vectors.select("id", "name")

@@ -131,6 +131,14 @@ def results_json(s, d):
     return exact.results_json(exact.with_names(exact.knn_join(collection(s, d), query_vectors(s, d), K), collection(s, d)))
 
 
+def results_tsv(s, d):
+    return exact.results_tsv(exact.with_names(exact.knn_join(collection(s, d), query_vectors(s, d), K), collection(s, d)))
+
+
+def mean_recall(s, d):
+    return recall_at_k(s, d).agg(_r(F.avg(F.col("hits") / F.col("truth_n"))).alias("mean_recall"))
+
+
 def recall_at_k(s, d):
     """How well the first half of the numbers finds what all of them do."""
     half = lambda t: t.withColumn("vec", F.slice("vec", 1, 32))
@@ -146,22 +154,50 @@ def select_neighbors(s, d):
     return lists.select("qid", F.posexplode(graph.select_neighbors(F.col("c"), 8)).alias("pos", "n")).select("qid", F.col("pos").cast("long").alias("pos"), F.col("n.id").alias("id"))
 
 
+def _lists(edges: DataFrame, vectors: DataFrame, m: int = 16) -> DataFrame:
+    """(layer, id, within_cap, sound) of a graph; sound: no neighbour twice, none that is dead, not the node itself."""
+    dead = vectors.where("deleted").select(F.col("id").alias("nbr"))
+    bad = edges.select("layer", "id", F.explode("nbrs").alias("nbr")).join(dead, "nbr").select("layer", "id", F.lit(True).alias("bad")).distinct()
+    own = (F.size(F.array_distinct("nbrs")) == F.size("nbrs")) & ~F.array_contains("nbrs", F.col("id"))
+    found = edges.select(F.col("layer").cast("int").alias("layer"), "id", (F.size("nbrs") <= F.when(F.col("layer") == 0, 2 * m).otherwise(m)).alias("within_cap"), own.alias("own"))
+    return found.join(bad, ["layer", "id"], "left").select("layer", "id", "within_cap", (F.col("own") & F.col("bad").isNull()).alias("sound"))
+
+
 def graph_build(s, d):
-    return graph.build_graph(collection(s, d)).select("layer", "id", F.size("nbrs").alias("n_nbrs"))
+    return _lists(graph.build_graph(collection(s, d)), collection(s, d))
 
 
 def graph_size(s, d):
-    return graph.graph_size(graph.build_graph(collection(s, d)))
+    return graph.graph_size(graph.build_graph(collection(s, d))).select("nodes", "upper_slots", "max_level", (F.col("edges") <= 32 * F.col("nodes") + 16 * F.col("upper_slots")).alias("within_caps"))
 
 
 def graph_scrub(s, d):
     """The graph of all vectors, without the deleted ones."""
     whole = graph.build_graph(collection(s, d).withColumn("deleted", F.lit(False)))
-    return graph.scrub(whole, collection(s, d)).select("layer", "id", F.size("nbrs").alias("n_nbrs"))
+    return _lists(graph.scrub(whole, collection(s, d)), collection(s, d))
+
+
+def graph_add(s, d):
+    """The graph of two thirds of the vectors, with the others added."""
+    base = collection(s, d)
+    return _lists(graph.add_nodes(graph.build_graph(base.where("id % 3 <> 0")), exact.live(base), exact.live(base).where("id % 3 = 0")), base)
+
+
+def graph_remove(s, d):
+    """The graph of all vectors without every tenth, searched."""
+    base, alone = collection(s, d), query_vectors(s, d)
+    stay = exact.live(base).where("id % 10 <> 5")
+    edges = graph.remove_nodes(graph.build_graph(base), stay, base.where("id % 10 = 5"))
+    return graph.graph_search(edges, stay, alone, K, EF).select("qid", "rk", "id", _r("dist").alias("dist"))
 
 
 def neighbors(s, d):
-    return graph.neighbors(graph.build_graph(collection(s, d)), 7, 0)
+    """Of node 7 on layer 0: its distances ascend, and each neighbour is live and there once."""
+    found = graph.neighbors(graph.build_graph(collection(s, d)), 7, 0).join(collection(s, d).select(F.col("id").alias("nbr"), "vec", "deleted"), "nbr")
+    found = found.crossJoin(F.broadcast(collection(s, d).where("id = 7").select(F.col("vec").alias("own"))))  # one row
+    listed = found.agg(F.array_sort(F.collect_list(F.struct("pos", "nbr", V.cosine_normalized("vec", "own").alias("dist"), "deleted"))).alias("l"))
+    rises = F.expr("forall(sequence(1, greatest(size(l) - 1, 1)), i -> i >= size(l) OR l[i].dist >= l[i - 1].dist - 1e-6)")
+    return listed.select(((F.size("l") > 0) & (F.size("l") <= 32)).alias("within_cap"), rises.alias("ascending"), (~F.exists("l", lambda x: x["deleted"]) & (F.size(F.array_distinct("l.nbr")) == F.size("l"))).alias("sound"))
 
 
 def graph_search(s, d):
@@ -176,7 +212,7 @@ def graph_recall(s, d):
 def graph_roundtrip(s, d):
     from tessera.sources.snapshot import roundtrip
 
-    return roundtrip(graph.build_graph(collection(s, d)), partition_by=["layer"]).select(F.col("layer").cast("int").alias("layer"), "id", F.size("nbrs").alias("n_nbrs"))
+    return _lists(roundtrip(graph.build_graph(collection(s, d)), partition_by=["layer"]), collection(s, d))
 
 
 def snapshot_roundtrip(s, d):
@@ -194,7 +230,9 @@ def oplog_replay(s, d):
 
 
 def stats(s, d):
-    return state.stats(collection(s, d))
+    """With upper_used, the places that nodes have above layer 0."""
+    upper = graph.levels(collection(s, d)).agg(F.coalesce(F.sum("level"), F.lit(0)).alias("upper_used"))
+    return state.stats(collection(s, d)).crossJoin(upper)  # one row each
 
 
 def _after(s, d, *ops) -> DataFrame:
@@ -210,6 +248,20 @@ def op_insert(s, d):
     return state.stats(_after(s, d, ("insert", 1_000_000, _some(_first(s, d)), "")))
 
 
+def op_insert_row(s, d):
+    return _after(s, d, ("insert", 1_000_000, _some(_first(s, d)), "")).where("id = 1000000").select("id", "name", F.transform("vec", lambda x: _r(x.cast("double"))).alias("vec"))
+
+
+def op_insert_at(s, d):
+    """The deleted rows with label 9 stay dead but for the first, which comes back."""
+    dead = collection(s, d).where("deleted").agg(F.min("id")).first()[0]
+    return exact.live(_after(s, d, ("insert", dead, _some(_first(s, d)), "back"), ("insert", dead, _first(s, d), "again"))).select("id", "name")
+
+
+def op_rename(s, d):
+    return exact.live(_after(s, d, ("rename", 7, None, "called"), ("rename", 8, None, ""), ("replace", 9, _first(s, d), ""))).select("id", "name")
+
+
 def op_insert_text(s, d):
     text = "a text of its own"
     vec = s.range(1).select(V.hash_embedding(F.lit(text), 64).alias("v")).first().v
@@ -256,6 +308,12 @@ def latency_hist(s, d):
     return report.histogram(samples(s, d), 1000, 100).select("bucket", "n", "total", "most")
 
 
+def latency_merge(s, d):
+    """From the histograms of two halves of the samples."""
+    halves = [samples(s, d).where(F.col("ns") % 2 == k) for k in (0, 1)]
+    return report.merged([report.histogram(h, 1000, 100) for h in halves]).select("bucket", "n", "total", "most")
+
+
 def latency_pctl(s, d):
     return report.percentiles(report.histogram(samples(s, d), 1000, 100), 1000, [0.5, 0.9, 0.95, 0.99])
 
@@ -312,6 +370,13 @@ state AS (SELECT log.id, arg_max(vec, seq) AS vec, arg_max(name, seq) FILTER (na
 _HIST = "h AS (SELECT least(floor(ns / 1000), 99)::BIGINT AS bucket, count(*) AS n, sum(ns)::BIGINT AS total, max(ns) AS most FROM (SELECT floor(value * 1000)::BIGINT AS ns FROM events WHERE event_type = 'view') GROUP BY 1)"
 _R6 = "list_transform({}, lambda x: round(x::DOUBLE, 6))"
 
+
+
+def _nodes() -> str:
+    """A row for each layer of each live node, with lists that keep the rules."""
+    return f"WITH {_C}, l AS (SELECT id, {_level('id', 0)} AS level FROM c WHERE NOT deleted) SELECT unnest(range(level + 1))::INT AS layer, id, true AS within_cap, true AS sound FROM l"
+
+
 SQL = {
     "live_scan": f"WITH {_C} SELECT id, name FROM c WHERE NOT deleted",
     "get_by_id": f"WITH {_C} SELECT id, name, {_R6.format('vec')} AS vec FROM c WHERE NOT deleted AND id = 7",
@@ -345,7 +410,23 @@ SELECT qid, generate_subscripts(sel, 1)::BIGINT - 1 AS pos, unnest(sel) AS id FR
     "entry_point": f"WITH {_C} SELECT id, {_level('id', 0)} AS level FROM c WHERE NOT deleted ORDER BY level DESC, id LIMIT 1",
     "oplog_replay": f"WITH {_LOG} SELECT id, list_transform(vec, lambda x: round(x::DOUBLE, 2)) AS vec, name, deleted FROM state",
     "stream_oplog": f"WITH {_LOG} SELECT id, name, deleted FROM state",
-    "stats": f"WITH {_C} SELECT max(len(vec)) FILTER (NOT deleted)::INT AS dim, count(*) FILTER (NOT deleted) AS live_count, count(*) FILTER (deleted) AS deleted_count, max(id) + 1 AS high_water FROM c",
+    "stats": f"WITH {_C} SELECT max(len(vec)) FILTER (NOT deleted)::INT AS dim, count(*) FILTER (NOT deleted) AS live_count, count(*) FILTER (deleted) AS deleted_count, max(id) + 1 AS high_water, coalesce(sum({_level('id', 0)}) FILTER (NOT deleted), 0)::BIGINT AS upper_used FROM c",
+    "synthetic_vectors": "SELECT range AS id, 1.0::DOUBLE AS norm FROM range(1000)",
+    "graph_build": _nodes(),
+    "graph_roundtrip": _nodes(),
+    "graph_scrub": _nodes(),
+    "graph_add": _nodes(),
+    "graph_size": f"WITH {_C}, l AS (SELECT {_level('id', 0)} AS level FROM c WHERE NOT deleted) SELECT count(*) AS nodes, sum(level)::BIGINT AS upper_slots, max(level) AS max_level, true AS within_caps FROM l",
+    "neighbors": "SELECT true AS within_cap, true AS ascending, true AS sound",
+    "graph_search": f"WITH {_C}, {_Q} SELECT qid, rk::INT AS rk, id, round(dist, 6) AS dist FROM ({_knn(K)})",
+    "graph_remove": f"WITH {_C}, {_Q} SELECT qid, rk::INT AS rk, id, round(dist, 6) AS dist FROM ({_knn(K, 'SELECT * FROM c WHERE NOT deleted AND id % 10 <> 5')})",
+    "graph_recall": f"WITH {_C}, {_Q}, t AS ({_knn(K)}) SELECT qid, count(*) AS hits, count(*) AS truth_n, 1.0::DOUBLE AS recall FROM t GROUP BY qid",
+    "results_tsv": f"WITH {_C}, {_Q} SELECT k.id || chr(9) || printf('%.6f', dist) || chr(9) || name AS tsv FROM ({_knn(K)}) AS k JOIN c USING (id)",
+    "mean_recall": f"WITH {_C}, {_Q}, t AS ({_knn(K)}), f AS ({_knn(K, cut='[1:32]')}), r AS (SELECT t.qid, count(f.id) / count(*) AS recall FROM t LEFT JOIN f ON t.qid = f.qid AND t.id = f.id GROUP BY t.qid) SELECT round(avg(recall), 6) AS mean_recall FROM r",
+    "latency_merge": f"WITH {_HIST} SELECT bucket, n, total, most FROM h",
+    "op_insert_row": f"WITH {_ONE} SELECT 1000000::BIGINT AS id, '' AS name, {_R6.format('list_reverse(one.vec)')} AS vec FROM one",
+    "op_insert_at": f"WITH {_C} SELECT id, name FROM c WHERE NOT deleted UNION ALL SELECT min(id), 'back' FROM c WHERE deleted",
+    "op_rename": f"WITH {_C} SELECT id, CASE id WHEN 7 THEN 'called' WHEN 8 THEN '' ELSE name END AS name FROM c WHERE NOT deleted",
     "op_insert": f"WITH {_C} SELECT max(len(vec)) FILTER (NOT deleted)::INT AS dim, count(*) FILTER (NOT deleted) + 1 AS live_count, count(*) FILTER (deleted) AS deleted_count, 1000001::BIGINT AS high_water FROM c",
     "op_insert_text": "SELECT 1000000::BIGINT AS id, 'a text of its own' AS name, false AS deleted, 64 AS dim",
     "op_delete": f"WITH {_C} SELECT id, name FROM c WHERE NOT deleted AND id <> 7",
@@ -370,14 +451,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         live_scan, get_by_id, verify_norm, parse_literal, name_prefix, text_guard, level_assign, level_dist, synthetic_vectors, exact_topk, topk_k_gt_n, knn_join, search_with_names,
         results_json, recall_at_k, select_neighbors, graph_build, graph_size, graph_scrub, neighbors, graph_search, graph_recall, graph_roundtrip, snapshot_roundtrip, entry_point,
         oplog_replay, stream_oplog, stats, op_insert, op_insert_text, op_delete, op_replace_vec, op_replace_text, delete_then_search, replace_then_search, ingest_documents, search_text,
-        latency_hist, latency_pctl, latency_summary, pctl_interp, throughput,
+        latency_hist, latency_merge, latency_pctl, latency_summary, pctl_interp, throughput, graph_add, graph_remove, results_tsv, mean_recall, op_insert_row, op_insert_at, op_rename,
     ]
     found = _NAMED | {f.__name__: f for f in plain}
     return {k: _numbers(f) if k in _VECTORS else f for k, f in found.items()}
 
 
 #: Results with a vector: a row for each of its numbers, which compares alike on every engine.
-_VECTORS = ("get_by_id", "normalize", "parse_literal", "oplog_replay", "op_replace_vec", "ingest_documents")
+_VECTORS = ("op_insert_row", "get_by_id", "normalize", "parse_literal", "oplog_replay", "op_replace_vec", "ingest_documents")
 
 
 def _numbers(query):

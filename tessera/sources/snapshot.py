@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -13,6 +16,34 @@ def shared_folder(spark: SparkSession) -> str:
     return found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again, so that no later step works it out
+    twice; deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    except Exception:  # the session is gone: the folder's owner cleans up
+        pass
+
+
+def numbered(df: DataFrame, name: str, first: int) -> DataFrame:
+    """df with a number for each row in `name`, from first on, without gaps and in the order of the
+    rows: what stands before each partition is counted, and added to the place inside it."""
+    # stored, so that partitions and places stay what they are when a task is run again
+    placed = scratch(df.select(F.struct(*df.columns).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "numbered").withColumn("place", F.expr("place & ((1L << 33) - 1)"))
+    sizes = placed.groupBy("part").count()  # a row for each partition
+    before = sizes.select("part", (F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + first).alias("before"))
+    return placed.join(before, "part").select((F.col("before") + F.col("place")).alias(name), "row.*")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -75,8 +106,6 @@ def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
 
 def roundtrip(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """df saved as a snapshot of its own and loaded again."""
-    import uuid
-
     root = f"{shared_folder(df.sparkSession)}/snapshot-{uuid.uuid4().hex}"
     save(root, {"table": df}, {"table": partition_by or []})
     return load(df.sparkSession, root, "table")

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tessera.errors import DimMismatch
 from tessera.functions.vectors import normalize, parse_literal
+from tessera.sources.snapshot import numbered
 
+#: Bytes of records that are handed on together.
+RUN_BYTES = 1 << 20
 _KINDS = {"fvecs": ("<f4", "float"), "ivecs": ("<i4", "int")}
 
 
@@ -38,16 +43,31 @@ def read_records(spark: SparkSession, path: str, kind: str = "fvecs") -> DataFra
     width = 4 + 4 * n
     if size < 4 or n <= 0 or size % width:
         raise ValueError(f"{path}: {size} bytes are not records of {n} numbers")
-    # fixed-length records are Hadoop's own input format: splits fall on record borders
-    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
+    # records of fixed length are a format of Hadoop's own: splits fall on their borders. What is
+    # handed on are packed runs of records, so no row passes Python one by one
+    raw = spark.sparkContext.binaryRecords(path, width)
+    packed = raw.mapPartitionsWithIndex(lambda part, rows: ((part, k, b"".join(run)) for k, run in enumerate(_runs(rows, max(1, RUN_BYTES // width)))))
+    runs = spark.createDataFrame(packed, "part int, run int, raw binary")
+    counted = runs.select("part", "run", (F.length("raw") / width).cast("long").alias("n"))
+    # a row for each RUN_BYTES of the file
+    before = counted.select("part", "run", F.coalesce(F.sum("n").over(Window.orderBy("part", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
 
-    def parse(rows: Iterator[tuple[bytes, int]]) -> Iterator[tuple[int, list]]:
-        for raw, at in rows:
-            if int.from_bytes(raw[:4], "little", signed=True) != n:
-                raise DimMismatch(f"record {at} has another length than the first, {n}")
-            yield at, np.frombuffer(raw, number, offset=4).tolist()
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, first in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = np.frombuffer(raw.as_buffer(), "<i4").reshape(-1, n + 1)
+                if (words[:, 0] != n).any():
+                    raise DimMismatch(f"record {first + int((words[:, 0] != n).argmax())} has another length than the first, {n}")
+                flat = np.ascontiguousarray(words[:, 1:]).view(number).ravel()
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(words))), vec], ["id", "vec"])
 
-    return spark.createDataFrame(records.mapPartitions(parse), schema)
+    return runs.join(before, ["part", "run"]).select("raw", "first").mapInArrow(parse, schema)
+
+
+def _runs(rows: Iterator[bytes], size: int) -> Iterator[list[bytes]]:
+    while run := list(islice(rows, size)):
+        yield run
 
 
 def write_records(rows: list, path: str, kind: str = "fvecs") -> None:
@@ -84,9 +104,9 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(id, name, text) of the files *.txt right in a folder; ids follow the byte order of names."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=False)
     named = files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    # only names take part in the sort; as many as the folder has files
-    order = named.select("name").withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long") - 1)
-    return named.join(order, "name").select("id", "name", "text")
+    # files fall into partitions by ranges of their names, and are numbered by what stands before
+    parts = spark.sparkContext.defaultParallelism
+    return numbered(named.repartitionByRange(parts, "name").sortWithinPartitions("name"), "id", 0)
 
 
 def vector_argument(spark: SparkSession, dim: int, literal: str | None = None, file: str | None = None) -> list[float]:

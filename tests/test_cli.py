@@ -46,6 +46,23 @@ def test_repl(spark, config):
 
 
 def test_benchmark(spark, capsys):
-    assert cli.main(["benchmark", "--base", "300", "--queries", "10", "--dim", "8"]) == 0
+    assert cli.main(["benchmark", "--base", "300", "--queries", "10", "--dim", "8", "--format", "json", "--batches", "3", "--validate", "0.9"]) == 0
     said = json.loads(capsys.readouterr().out)
     assert said["params"]["base"] == 300 and said["recall_at_k"] > 0.9
+    assert said["valid"] and set(said["phases_ns"]) == {"load", "build", "warm-up", "search", "truth"} and {"p50", "p90", "p95", "p99", "mean", "max", "overflow"} == set(said["batch_latency_ns"])
+
+
+def test_benchmark_of_a_data_set_against_a_report(spark, capsys, tmp_path):
+    from tessera.sources.vectorfiles import write_records
+
+    rows = [[float((i * 7 + j * j) % 11) + 0.1 for j in range(4)] for i in range(60)]
+    write_records(rows, f"{tmp_path}/x_base.fvecs")
+    write_records(rows[:5], f"{tmp_path}/x_query.fvecs")
+    write_records([[(i + 1) % 60] * 3 for i in range(5)], f"{tmp_path}/x_groundtruth.ivecs", "ivecs")
+    own = ["benchmark", "--dataset", f"file://{tmp_path}", "--top-k", "3", "--batches", "2", "--warmup", "0"]
+    assert cli.main([*own, "--format", "json"]) == 0
+    (tmp_path / "report.json").write_text(capsys.readouterr().out)
+    said = json.loads((tmp_path / "report.json").read_text())
+    assert said["params"]["dim"] == 4 and said["recall_at_k"] < 1  # the truth given is wrong
+    assert cli.main([*own, "--against", f"{tmp_path}/report.json", "--validate", "1"]) == 1
+    assert "valid" in (text := capsys.readouterr().out) and "against.search" in text and "slower" in text or "faster" in text

@@ -3,12 +3,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.errors import DimMismatch, InvalidFrame, InvalidId, OutOfCapacity, TextTooLong, TopKTooLarge
+from tessera.errors import DimMismatch, EmbedFailed, InvalidFrame, InvalidId, OutOfCapacity, ReplayDivergent, SlotOccupied, TextTooLong, TopKTooLarge
 from tessera.functions import vectors as V
-from tessera.functions.embedders import embed
+from tessera.functions.embedders import HttpModel, embed
 from tessera.operators import exact, graph, report, state
 from tessera.plans import queries as Q
 from tessera.plans.collection import Collection
+from tessera.sources import snapshot as store
 from tessera.sources.config import Config, ConfigError
 from tessera.sources.vectorfiles import read_dataset, read_records, read_texts, vector_argument, write_records
 
@@ -113,13 +114,16 @@ def model_replay(log):
         elif op == "delete" and i not in rows:
             rows[i] = None
         elif op == "replace" and alive:
-            rows[i] = (vec, rows[i][1] if name is None else name)
+            rows[i] = (vec, name or rows[i][1])
+        elif op == "rename" and alive:
+            rows[i] = (rows[i][0], name)
     return rows
 
 
 def test_replay_equals_one_by_one(spark):
     rng = np.random.default_rng(3)
-    log = [(s, str(rng.choice(["insert", "delete", "replace"])), int(rng.integers(12)), [float(s)], None if rng.random() < 0.4 else f"n{s}") for s in range(400)]
+    log = [(s, str(rng.choice(["insert", "delete", "replace", "rename"])), int(rng.integers(12)), [float(s)], str(rng.choice(["", f"n{s}"]))) for s in range(400)]
+    log = [(s, op, i, None if op in ("delete", "rename") else v, None if op == "replace" and s % 3 else n) for s, op, i, v, n in log]
     cut = 170
     for part in (log, log[:40]):
         want = model_replay(part)
@@ -195,8 +199,42 @@ def test_embedders(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
     hashed = [r.vec for r in embed(rows, 6).collect()]
     assert hashed[0] == hashed[2] != hashed[1] and np.linalg.norm(hashed[0]) == pytest.approx(1, abs=1e-6)
-    own = embed(rows, 2, model=lambda texts: [[float(len(t)), 1.0] for t in texts])
-    assert [r.vec for r in own.collect()] == [[1, 1]] * 3
+    own = embed(rows, 2, model=lambda texts: [[3.0 * len(t), 4.0] for t in texts])
+    assert [r.vec for r in own.collect()] == [pytest.approx([0.6, 0.8])] * 3
+    same = embed(rows, 2, model=lambda texts: [[0.6, 0.8] for _ in texts], normalize_to=False)
+    assert [r.vec for r in same.collect()] == [pytest.approx([0.6, 0.8])] * 3
+    for bad, brought in (([3.0, 4.0], False), ([0.0, 0.0], True), ([1.0], True)):
+        with pytest.raises(Exception, match="the model gave"):
+            embed(rows, 2, model=lambda texts, bad=bad: [bad for _ in texts], normalize_to=brought).collect()
+
+
+def test_model_server(spark):
+    """Against a server on this machine, with answers right and wrong."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            right = self.path == "/api/embed" and asked["model"] == "good"
+            body = json.dumps({"embeddings": [[float(len(t)), 0.0, 1.0] for t in asked["input"]]} if right else {"error": "no such model"}).encode()
+            self.send_response(200 if right else 404)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    rows = spark.createDataFrame([("",), ("a" * 7,)], "text string")
+    assert [r.vec for r in embed(rows, 3, HttpModel(url, "good")).collect()] == [[0, 0, 1], pytest.approx([7 / 50**0.5, 0, 1 / 50**0.5])]
+    for model in (HttpModel(url, "bad"), HttpModel("http://127.0.0.1:1", "good", timeout=1)):
+        with pytest.raises(EmbedFailed):
+            model(["x"])
+    server.shutdown()
 
 
 def test_reports(spark):
@@ -233,3 +271,98 @@ def test_every_query_equals_its_sql(spark, sf):
         assert len(a) == len(b), name
         for x, y in zip(a, b):
             assert all(u == pytest.approx(v, abs=3e-5) if isinstance(u, float) else u == v for u, v in zip(x, y)), (name, x, y)
+
+
+def test_many_queries_in_little_memory(spark, monkeypatch):
+    monkeypatch.setattr(exact, "STEP_BYTES", 1 << 18)
+    monkeypatch.setattr(exact, "QUERY_BYTES", 1 << 12)
+    x, table = fixture(spark, 300, 8, 2)
+    queries = table.select(F.col("id").alias("qid"), "vec")
+    got = {(r.qid, r.rk): r.id for r in exact.knn_join(table, queries, 4).collect()}
+    alive = np.array([i for i in range(300) if i % 10 != 3])
+    x = x.astype(np.float32).astype(float)
+    far = 1 - x @ x[alive].T
+    assert got == {(i, k + 1): int(alive[j]) for i in range(300) for k, j in enumerate(np.lexsort((alive, far[i]))[:4])}
+    held = exact._Nearest(np.arange(100_000), np.zeros((100_000, 16)), 3)
+    assert held.rows * (held.step + 3) * 8 <= max(exact.STEP_BYTES, 8 * (held.step + 3))
+
+
+def test_graph_upkeep(spark):
+    x, table = fixture(spark, 700, 16, 6)
+    table = table.withColumn("deleted", F.lit(False)).cache()
+    first = table.where("id < 600")
+    edges = graph.build_graph(first, m=8, ef_construction=64).cache()
+    more = graph.add_nodes(edges, table, table.where("id >= 600"), m=8, ef_construction=64).cache()
+    assert {r.id for r in more.where("layer = 0").collect()} == set(range(700))
+    levels = {r.id: r.level for r in graph.levels(table, 0, 8).collect()}
+    assert {(r.layer, r.id) for r in more.collect()} == {(k, i) for i, n in levels.items() for k in range(n + 1)}
+    rows = more.collect()
+    assert all(len(set(r.nbrs)) == len(r.nbrs) <= (16 if r.layer == 0 else 8) and r.id not in r.nbrs for r in rows)
+    queries = table.where("id % 9 = 0 OR id >= 600").select(F.col("id").alias("qid"), "vec")
+    rate = lambda g, t: exact.recall(exact.knn_join(t, queries, 10), graph.graph_search(g, t, queries, 10, 100)).agg(F.avg("recall")).first()[0]
+    assert rate(more, table) >= 0.95
+    gone = table.where("id % 7 = 1")
+    stay = table.where("id % 7 <> 1").cache()
+    less = graph.remove_nodes(more, stay, gone, m=8, ef_construction=64).cache()
+    rows = less.collect()
+    assert {r.id for r in rows if r.layer == 0} == {i for i in range(700) if i % 7 != 1} and all(n % 7 != 1 for r in rows for n in r.nbrs)
+    assert all(len(r.nbrs) <= (16 if r.layer == 0 else 8) for r in rows)
+    assert rate(less, stay) >= 0.9
+
+
+def test_search_walks_through_dead_nodes(spark):
+    """A stored graph with a tenth of its nodes deleted since: they lead on and are not returned."""
+    x, table = fixture(spark, 500, 16, 8)
+    edges = graph.build_graph(table.withColumn("deleted", F.lit(False)), m=8, ef_construction=64)
+    queries = table.select(F.col("id").alias("qid"), "vec").where("qid % 5 = 0")
+    found = graph.graph_search(edges, table, queries, 10, 100).cache()
+    assert found.where("id % 10 = 3").isEmpty()
+    assert exact.recall(exact.knn_join(table, queries, 10), found).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_collection_names_slots_cadence_and_build(spark, tmp_path):
+    c = Collection(spark, f"file://{tmp_path}/c", dim=2, snapshot_every=4)
+    a = c.insert([1, 0], "a")
+    c.set_name(a, "other")
+    assert c.get_name(a) == "other" and c.get(a) == ("other", [1, 0])
+    c.delete_name(a)
+    assert c.get_name(a) == ""
+    with pytest.raises(SlotOccupied):
+        c.insert_at(a, [0, 1])
+    with pytest.raises(InvalidId):
+        c.insert_at(9, [0, 1])
+    assert store.current(spark, c.root) == 0
+    c.delete(a)  # the fourth operation
+    assert store.current(spark, c.root) == 1 and c.log().isEmpty()
+    c.insert_at(a, [0, 1], "back")
+    assert c.get(a) == ("back", [0, 1]) and c.next_id() == 1
+    for _ in range(2):  # a build replaces what was there
+        assert c.build(spark.createDataFrame([([1.0, 0.0], "x"), ([0.0, 1.0], "y"), ([0.6, 0.8], "z")], "vec array<float>, name string")) == 3
+        assert c.stats()["live_count"] == 3 and c.get(2)[0] == "z"
+    assert c.search([0, 1], 2, 10, method="graph")[0][2] == "y"
+    c.verify()
+    c._one("insert", 7, [1.0, 0.0], "")
+    with pytest.raises(ReplayDivergent):
+        c.verify()
+
+
+def test_upkeep_of_a_collection(spark, tmp_path):
+    x, table = fixture(spark, 300, 8, 11)
+    c = Collection(spark, f"file://{tmp_path}/c", dim=8, m=8, ef_construction=64)
+    c.build(table.select("vec", "name"))
+    c.delete(5)
+    c.replace(6, x[7].tolist())
+    new = c.insert(x[8].tolist(), "new")
+    assert c.snapshot() == 2
+    edges = store.load(spark, c.root, "graph")
+    ids = {r.id for r in edges.where("layer = 0").collect()}
+    assert ids == set(range(300)) - {5} | {new} and edges.where("array_contains(nbrs, 5)").isEmpty()
+    assert {i for i, _, _ in c.search(x[8].tolist(), 2, 50, method="graph")} == {8, new}
+    assert {i for i, _, _ in c.search(x[7].tolist(), 2, 50, method="graph")} == {6, 7}
+
+
+def test_numbered_rows(spark):
+    df = spark.range(1000).repartition(7).withColumn("x", F.col("id") * 2)
+    got = store.numbered(df, "n", 50).collect()
+    assert sorted(r.n for r in got) == list(range(50, 1050)) and all(r.x == 2 * r.id for r in got)
+    assert store.numbered(df.limit(0), "n", 0).count() == 0
