@@ -48,15 +48,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of a batch that Python workers get: texts are long, and a task holds several copies of a batch.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of the queries that are run here go as soon as each has ended."""
-    before = spark.conf.get(_CLEANUP, "false")
+def own_settings(spark: SparkSession) -> Iterator[None]:
+    """For the queries that are run here: shuffle files go as soon as each has ended, and Python
+    workers get small batches."""
+    before = spark.conf.get(_CLEANUP, "false"), spark.conf.get(_BATCH)
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, _BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.set(_CLEANUP, before[0])
+        spark.conf.set(_BATCH, before[1])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -66,7 +73,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with freed_shuffles(spark):
+    with own_settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tessera_path = path

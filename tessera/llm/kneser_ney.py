@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import freed_shuffles, ids_and_text, scratch_path
+from tessera.llm.common import own_settings, ids_and_text, scratch_path
 
 #: Spreads bigrams over the key space; odd, so it has an inverse modulo 2**64.
 SPREAD = 0x9E3779B97F4A7C15
@@ -216,7 +216,7 @@ def _count_words(texts: DataFrame, folder: str, bits: int) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())])], ["n"])
 
     done = _gathered(texts.mapInArrow(count, _BLOCK), bits).mapInArrow(write, "n long")
-    with freed_shuffles(texts.sparkSession):
+    with own_settings(texts.sparkSession):
         return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
@@ -287,7 +287,7 @@ def _count_bigrams(texts: DataFrame, folder: str, bits: int, size: int) -> tuple
 
     counted = _gathered(texts.mapInArrow(count, _BLOCK), bits).mapInArrow(write, _BLOCK)
     done = _gathered(counted, bits).mapInArrow(write_numbered, "what string, k long, n long")
-    with freed_shuffles(texts.sparkSession):
+    with own_settings(texts.sparkSession):
         found = {(r.what, r.k): r.n for r in done.groupBy("what", "k").agg(F.sum("n").alias("n")).collect()}
     return [found.get(("bigrams", k), 0) for k in (1, 2, 3, 4)], [found.get(("words", k), 0) for k in (1, 2, 3, 4)]
 

@@ -374,21 +374,25 @@ def remove_repeats(
         return [(a, b) for a, b in whole if not least_words or len(text[a:b].split()) >= least_words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, removed, told = [], [], []
-            for k in range(batch.num_rows):
-                text, part, at = batch.column(2)[k].as_py(), [], 0
-                own = merged(batch.column(3)[k], text, words)
-                for a, b in own:
-                    part.append(text[at:a])
-                    at = b
-                part.append(text[at:] if at else text)
-                kept.append(b"".join(part))
-                removed.append([{"begin": a, "end": b} for a, b in own])
-                told.append([{"begin": a, "end": b} for a, b in merged(batch.column(4)[k], text, many)] if passages else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("carried"), batch.column("text"), pa.array(kept, pa.binary()), pa.array(removed, runs_type), pa.array(told, runs_type)], ["id", "carried", "text", "kept", "spans", "passages"]
-            )
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                yield cut(whole.slice(lo, 256))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept, removed, told = [], [], []
+        for k in range(batch.num_rows):
+            text, part, at = batch.column(2)[k].as_py(), [], 0
+            own = merged(batch.column(3)[k], text, words)
+            for a, b in own:
+                part.append(text[at:a])
+                at = b
+            part.append(text[at:] if at else text)
+            kept.append(b"".join(part))
+            removed.append([{"begin": a, "end": b} for a, b in own])
+            told.append([{"begin": a, "end": b} for a, b in merged(batch.column(4)[k], text, many)] if passages else [])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("carried"), batch.column("text"), pa.array(kept, pa.binary()), pa.array(removed, runs_type), pa.array(told, runs_type)], ["id", "carried", "text", "kept", "spans", "passages"]
+        )
 
     names = StructType([joined.schema["id"], joined.schema["carried"]])
     return joined.select("id", "carried", "text", "spans", "shorter").mapInArrow(run, names.add("text", "binary").add("kept", "binary").add("spans", _SPAN).add("passages", _SPAN))
