@@ -32,6 +32,10 @@ def parser() -> argparse.ArgumentParser:
         return own
 
     command("build").add_argument("texts", help="a folder with *.txt files")
+    taken = command("import")
+    taken.add_argument("vectors", help="a file of vectors of another program")
+    taken.add_argument("--names")
+    taken.add_argument("--log")
     command("query")
     bench = command("benchmark")
     bench.add_argument("--dataset", help="a folder with *base.fvecs and *query.fvecs")
@@ -228,6 +232,10 @@ def main(argv: list[str] | None = None) -> int:
 
                 rows = embed(read_texts(spark, args.texts).orderBy("id"), config.embedder.dim, model, normalize_to=config.embedder.normalize)
                 print(c.build(rows.select("vec", F.col("name"))))
+            elif args.command == "import":
+                from tessera.sources.imports import read_collection
+
+                print(c.take_over(read_collection(spark, args.vectors, args.names, args.log)))
             elif args.command == "query":
                 repl(c, sys.stdin, sys.stdout, args)
             elif args.command in ("ping", "stats", "snapshot"):

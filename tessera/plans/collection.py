@@ -21,6 +21,8 @@ from tessera.operators import exact, graph, state
 from tessera.sources import snapshot as store
 
 _NEW = "id long, vec array<float>, name string"
+#: Bytes of a name.
+LONGEST_NAME = 65_535
 #: Share of changed rows up to which the graph is kept up.
 UPKEEP = 0.2
 
@@ -70,6 +72,8 @@ class Collection:
             self.snapshot()
 
     def _one(self, op: str, row_id: int, vec: list[float] | None, name: str | None) -> None:
+        if name and len(name.encode()) > LONGEST_NAME:
+            raise TextTooLong(f"a name of {len(name.encode())} bytes, over {LONGEST_NAME}")
         row = self.spark.createDataFrame([(row_id, vec, name)], _NEW)
         self._append(row.select(F.lit(op).alias("op"), "id", "vec", "name"))
 
@@ -119,6 +123,8 @@ class Collection:
         bad = rows.where(F.col("vec").isNull() | (F.size("vec") != self.dim)).limit(1).count()
         if bad:
             raise DimMismatch(f"not all vectors have {self.dim} numbers")
+        if not rows.where(F.octet_length("name") > LONGEST_NAME).isEmpty():
+            raise TextTooLong(f"a name of over {LONGEST_NAME} bytes")
         row, n = state.stats(self.vectors()).first(), rows.count()
         if self.max_vectors is not None and row.live_count + n > self.max_vectors:
             raise OutOfCapacity(f"{row.live_count} vectors and {n} more")
@@ -164,6 +170,12 @@ class Collection:
         self._save(fresh, lambda kept: graph.build_graph(kept, self.m, self.ef_construction, self.seed))
         return n
 
+    def take_over(self, vectors: DataFrame) -> int:
+        """The rows (id, vec, name, deleted) with their ids, in place of whatever was there."""
+        if not vectors.where(~F.col("deleted") & (F.size("vec") != self.dim)).isEmpty():
+            raise DimMismatch(f"not all vectors have {self.dim} numbers")
+        return self._save(vectors, lambda kept: graph.build_graph(kept, self.m, self.ef_construction, self.seed))
+
     def delete(self, row_id: int) -> None:
         self._check_live(row_id)
         self._one("delete", row_id, None, None)

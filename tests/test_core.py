@@ -366,3 +366,71 @@ def test_numbered_rows(spark):
     got = store.numbered(df, "n", 50).collect()
     assert sorted(r.n for r in got) == list(range(50, 1050)) and all(r.x == 2 * r.id for r in got)
     assert store.numbered(df.limit(0), "n", 0).count() == 0
+
+
+def _foreign(folder, rows, dead, dim=3):
+    """Files of vectors, names, graph and log, written byte by byte."""
+    import struct
+    import zlib
+
+    n = len(rows)
+    marks = bytearray((n + 7) // 8)
+    for i in dead:
+        marks[i // 8] |= 1 << i % 8
+    (folder / "v").write_bytes(struct.pack("<4sIIQQ", b"HVSF", 2, dim, n, n - len(dead)) + bytes(marks) + np.array(rows, "<f4").tobytes())
+    names = b"".join(b"\0" if i in dead else b"\1" + struct.pack("<H", len(x := f"né{i}".encode())) + x for i in range(n))
+    (folder / "n").write_bytes(struct.pack("<4sIQQ", b"HMTF", 2, n, n - len(dead)) + names)
+    body = b""
+    for i in range(n):
+        level = 1 if i == 2 else 0
+        body += bytes([level])
+        for layer in range(level + 1):
+            nbrs = [] if i in dead or layer else [j for j in range(n) if j != i and j not in dead]
+            body += struct.pack(f"<H{len(nbrs)}I", len(nbrs), *nbrs)
+    (folder / "g").write_bytes(struct.pack("<4sIIIBII", b"HGRF", 2, 16, 2, 1, 200, n) + body)
+
+    def record(seq, op, i, vec, name):
+        raw = struct.pack("<QBHIBHH", seq, op, 0, i, 0, len(vec), len(name)) + np.array(vec, "<f4").tobytes() + name
+        raw = struct.pack("<I", len(raw)) + raw
+        return raw + struct.pack("<I", zlib.crc32(raw))
+
+    head = struct.pack("<4sIII", b"HWAL", 1, dim, 0)
+    log = head + struct.pack("<I", zlib.crc32(head)) + record(0, 1, n, [9] * dim, b"new") + record(1, 2, 0, [], b"") + record(2, 3, 2, [7] * dim, b"") + record(3, 2, 2, [], b"")[:-3]
+    (folder / "l").write_bytes(log)
+
+
+def test_files_of_another_program(spark, tmp_path):
+    from tessera.sources import imports
+
+    rows = [[float(i), 1.0, -0.5] for i in range(11)]
+    _foreign(tmp_path, rows, {4, 9})
+    at = lambda x: f"file://{tmp_path}/{x}"
+    got = {r.id: r for r in imports.read_vector_file(spark, at("v")).collect()}
+    assert [got[i].vec for i in range(11)] == rows and {i for i, r in got.items() if r.deleted} == {4, 9}
+    assert {r.id: r.name for r in imports.read_name_file(spark, at("n")).collect()} == {i: None if i in (4, 9) else f"né{i}" for i in range(11)}
+    graph_rows = {(r.layer, r.id): r.nbrs for r in imports.read_graph_file(spark, at("g")).collect()}
+    assert len(graph_rows) == 12 and graph_rows[1, 2] == [] and graph_rows[0, 4] == [] and graph_rows[0, 0] == [1, 2, 3, 5, 6, 7, 8, 10]
+    log = imports.read_log_file(spark, at("l"), 3).orderBy("seq").collect()
+    assert [(r.op, r.id) for r in log] == [("insert", 11), ("delete", 0), ("replace", 2)]  # the last record is broken off
+    c = Collection(spark, f"file://{tmp_path}/c", dim=3)
+    c.take_over(imports.read_collection(spark, at("v"), at("n"), at("l")))
+    assert c.get(11) == ("new", [9, 9, 9]) and c.get(2) == ("né2", [7, 7, 7]) and c.stats()["live_count"] == 9 and c.next_id() == 12
+    with pytest.raises(InvalidId):
+        c.get(0)
+    for name, cut in (("v", 40), ("n", 30), ("g", 60)):
+        whole = (tmp_path / name).read_bytes()
+        for bad in (whole[:cut], b"XXXX" + whole[4:], whole[:4] + b"\x09" + whole[5:], whole + b"\0"):
+            (tmp_path / "bad").write_bytes(bad)
+            read = {"v": imports.read_vector_file, "n": imports.read_name_file, "g": imports.read_graph_file}[name]
+            with pytest.raises(Exception, match="BadFile"):
+                read(spark, at("bad")).collect()
+    with pytest.raises(Exception, match="DimMismatch"):
+        imports.read_log_file(spark, at("l"), 4).collect()
+
+
+def test_names_are_bounded(spark, tmp_path):
+    c = Collection(spark, f"file://{tmp_path}/c", dim=1)
+    with pytest.raises(TextTooLong):
+        c.insert([1], "x" * 65_536)
+    with pytest.raises(TextTooLong):
+        c.insert_many(spark.createDataFrame([([1.0], "é" * 40_000)], "vec array<float>, name string"))
