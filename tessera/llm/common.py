@@ -18,6 +18,45 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+#: An odd number whose powers weigh places, and its inverse.
+BASE = np.uint64(0xD6E8FEB86659FD93)
+BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers_known: dict[int, np.ndarray] = {}
+#: A number for each byte, A-Z as a-z, and which bytes part words.
+_BYTE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of base, modulo 2**64; those up to the size of a batch are remembered."""
+    held = _powers_known.get(int(base))
+    if held is None or len(held) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        held = np.multiply.accumulate(out)
+        if n <= 1 << 22:
+            _powers_known[int(base)] = held
+    return held[:n]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of all texts, A-Z lower-cased, and how many words each text has:
+    sums over the words' bytes, weighted by their places, for all words at once."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    space = _SPACE[data]
+    first = np.nonzero(space[:-1] & ~space[1:])[0] + 1
+    last = np.nonzero(~space[:-1] & space[1:])[0] + 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(BASE, len(data)), dtype=np.uint64)])
+    found = (total[last] - total[first]) * powers(BACK, len(data))[first]
+    for shift, factor in ((31, 0x9E3779B97F4A7C15), (29, 0xBF58476D1CE4E5B9)):
+        found ^= found >> np.uint64(shift)
+        found *= np.uint64(factor)
+    found ^= found >> np.uint64(32)
+    cut = np.searchsorted(first, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+    return found, np.diff(cut)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session names none."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()

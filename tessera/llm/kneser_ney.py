@@ -17,27 +17,24 @@ from __future__ import annotations
 
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import own_settings, ids_and_text, scratch_path
+from tessera.llm.common import ids_and_text, own_settings, scratch_path, word_hashes
 
 #: Spreads bigrams over the key space; odd, so it has an inverse modulo 2**64.
 SPREAD = 0x9E3779B97F4A7C15
 UNSPREAD = pow(SPREAD, -1, 2**64)
-#: Bytes of text for each bucket; tokens that a task adds up at once; words that a worker remembers.
-BUCKET_BYTES, HELD_TOKENS, REMEMBER = 1 << 24, 2_000_000, 250_000
-#: No word is empty, so its hash can stand for the end of a text.
-END = b""
+#: Bytes of text for each bucket; tokens that a task adds up at once.
+BUCKET_BYTES, HELD_TOKENS = 1 << 24, 2_000_000
+#: Stands for the end of a text: the number that an empty word would have, and no word is empty.
+END = np.uint64(0)
 _BLOCK = "bucket int, part string, keys binary, counts binary"
 
 
@@ -74,11 +71,6 @@ def _read_counts(path: str) -> np.ndarray:
     return next((_read(f"{path}-{w}", f"<u{w}") for w in (1, 2, 4, 8) if os.path.exists(f"{path}-{w}")), np.empty(0, "<u1"))
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words with A-Z lower-cased; only ASCII white space parts them."""
-    return text.lower().split()
-
-
 class _Arrays:
     """Keys that are sorted over files bucket 0, 1, ... by their upper bits, and where each one is."""
 
@@ -105,30 +97,19 @@ class Vocabulary:
         self.arrays = _Arrays(folder, "word", bits)
         self.size = int(self.arrays.offset[-1])
         self.begin = self.size  # stands before the first word of a text
-        self._known: dict[bytes, int] = {}
-        self.end = self.ids([END])[0]
-
-    def ids(self, words: list[bytes]) -> list[int]:
-        """The number of each word, -1 if it isn't known."""
-        known = self._known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(set(words))
-        if new:
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
-            order = np.argsort(hashes)
-            found = np.empty(len(new), np.int64)
-            found[order] = self.arrays.find(hashes[order])
-            known.update(zip(new, found.tolist()))
-        return list(map(known.__getitem__, words))
 
     def sequences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all tokens of the texts, each with its end, and where each text begins."""
-        words = [tokens(t) for t in texts]
-        length = np.array([len(w) + 1 for w in words], np.int64)
-        ids = np.array(self.ids(list(chain.from_iterable(chain(w, (END,)) for w in words))), np.int64)
-        return ids, np.concatenate([[0], np.cumsum(length)[:-1]])
+        """Numbers of all tokens of the texts (-1: not known), each text with its end, and where it begins."""
+        hashes, first = token_hashes(texts)
+        words, at = np.unique(hashes, return_inverse=True)
+        return self.arrays.find(words)[at], first
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, with the end after each text, and where each text begins."""
+    found, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    return np.insert(found, ends, END), np.concatenate([[0], ends[:-1] + np.arange(1, len(texts))]) if len(texts) else ends
 
 
 def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -192,22 +173,19 @@ def _count_words(texts: DataFrame, folder: str, bits: int) -> int:
     """Writes the words and their counts; returns the number of tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, n = [], 0
         for batch in batches:
             for _, part in _chunks(batch, 0):
-                for text in part:
-                    held.update(tokens(text))
-                held[END] += len(part)
-                if len(held) > REMEMBER:
+                held.append(_added(*np.unique(token_hashes(part)[0], return_counts=True)))
+                n += len(held[-1][0])
+                if n >= HELD_TOKENS:
                     yield blocks(held)
-                    held.clear()
-        if held:
+                    held, n = [], 0
+        if n:
             yield blocks(held)
 
-    def blocks(held: Counter) -> pa.RecordBatch:
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in held], np.uint64)
-        counts = np.fromiter(held.values(), np.uint64, len(held))
-        return _blocks(*_added(hashes, counts), bits)
+    def blocks(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return _blocks(*_added(*(np.concatenate(x) for x in zip(*held))), bits)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, _, keys, counts in _buckets(batches):
