@@ -1,29 +1,36 @@
-"""Interpolated modified Kneser-Ney bigrams: counted in Spark, kept as sorted hash arrays.
+"""Interpolated modified Kneser-Ney, of bigrams or trigrams: counted in Spark, kept as sorted hash arrays.
 
 A model is a folder that driver and executors share. Words are numbered by the order of their
 64-bit hashes; a bigram's key is its two numbers in 64 bits, multiplied by an odd constant, which
-spreads it and can be undone. Keys lie sorted in files by their upper bits, counts beside them;
-what is known of each word as a context, and in how many contexts it follows, lies in files by its
-number. Workers map the files into memory and search them there, so pages are shared between
-workers and the model may be larger than their memory.
+spreads it and can be undone. Keys lie sorted in files by their upper bits, counts beside them. A
+trigram lies in the file of the bigram that it begins with: its key is the place of that bigram in
+its file, and the number of the last word. What is known of each word as a context, and in how many
+contexts it follows, lies in files by its number; what is known of a bigram as a context, by its
+place. Workers map the files into memory and search them there, so pages are shared between workers
+and the model may be larger than their memory.
+
+The longest n-grams have their counts; of shorter ones counts the number of words they follow (or
+how often, where nothing can stand before them: at the beginning of a text).
 
 Counts travel in blocks: arrays of keys and counts for one bucket, added up in each task before
 they are shuffled. So a frequent word makes one entry a block however often it occurs, buckets are
 even, and the number of buckets follows the size of the corpus. Counts are kept in the least
-number of bytes that holds the largest of their file.
+number of bytes that holds the largest of their block or file. Trigrams go in ROUNDS, a part of the
+buckets at a time, so that disk holds the blocks of one.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ids_and_text, own_settings, scratch_path, word_hashes
@@ -35,6 +42,9 @@ UNSPREAD = pow(SPREAD, -1, 2**64)
 BUCKET_BYTES, HELD_TOKENS = 1 << 24, 2_000_000
 #: Stands for the end of a text: the number that an empty word would have, and no word is empty.
 END = np.uint64(0)
+#: Parts of the buckets whose trigrams are shuffled one after the other.
+ROUNDS = 2
+_LOW = np.uint64(0xFFFFFFFF)
 _BLOCK = "bucket int, part string, keys binary, counts binary"
 
 
@@ -60,11 +70,15 @@ def _read(path: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r")
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    most = int(counts.max(initial=0))
+    return counts.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
+
+
 def _write_counts(path: str, counts: np.ndarray) -> None:
     """As <path>-<bytes of a count>."""
-    most = int(counts.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    _write(f"{path}-{width}", counts.astype(f"<u{width}"))
+    counts = _narrow(counts)
+    _write(f"{path}-{counts.itemsize}", counts)
 
 
 def _read_counts(path: str) -> np.ndarray:
@@ -98,6 +112,12 @@ class Vocabulary:
         self.size = int(self.arrays.offset[-1])
         self.begin = self.size  # stands before the first word of a text
 
+    def before(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The number of what stands before each token."""
+        out = np.concatenate([[self.begin], ids[:-1]])
+        out[first] = self.begin
+        return out
+
     def sequences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all tokens of the texts (-1: not known), each text with its end, and where it begins."""
         hashes, first = token_hashes(texts)
@@ -123,23 +143,30 @@ def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator
             begin, held, texts = k + 1, 0, []
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, bits: int, part: str = "") -> pa.RecordBatch:
-    """Ascending keys and their counts, a row for each bucket."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def _rows(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray, part: str = "") -> pa.RecordBatch:
+    """A row for each bucket of ascending buckets."""
     first = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1]) if len(keys) else np.empty(0, np.int64)
-    ends = np.concatenate([first[1:], [len(keys)]]) if len(keys) else first
-    spans = list(zip(first.tolist(), ends.tolist()))
+    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[first].astype(np.int32)),
             pa.array([part] * len(spans), pa.string()),
             pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
-            pa.array([counts[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()),
+            pa.array([_narrow(counts[a:b]).tobytes() for a, b in spans], pa.binary()),
         ],
         ["bucket", "part", "keys", "counts"],
     )
 
 
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Ascending keys and their counts, a row for each bucket."""
+    return _rows(_bucket(keys, bits), keys, counts)
+
+
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -148,6 +175,10 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.uint64) if n else np.empty(0, np.uint64)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
     """(bucket, part, keys, counts added up) of rows in order of (bucket, part)."""
     now, keys, counts = None, [], []
@@ -159,7 +190,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.n
                 keys, counts = [], []
             now = at
             keys.append(np.frombuffer(row[2].as_py(), "<u8"))
-            counts.append(np.frombuffer(row[3].as_py(), "<u8"))
+            counts.append(_wide(row[3].as_py(), len(keys[-1])))
     if now is not None:
         yield *now, *_added(np.concatenate(keys), np.concatenate(counts))
 
@@ -198,19 +229,38 @@ def _count_words(texts: DataFrame, folder: str, bits: int) -> int:
         return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _count_bigrams(texts: DataFrame, folder: str, bits: int, size: int) -> tuple[list[int], list[int]]:
-    """Writes bigrams, contexts and followers; returns how many bigrams have count 1, 2, 3, 4, and
-    how many words follow that many different words."""
-    width = max(1, -(-(size + 1) // (1 << bits)))  # word numbers for each bucket of the second kind
+def _pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return (before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)) * np.uint64(SPREAD)
+
+
+def _parted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = keys * np.uint64(UNSPREAD)
+    return pairs >> np.uint64(32), pairs & _LOW
+
+
+def _run(done: DataFrame) -> dict[tuple[str, int], int]:
+    """Sums of n by (what, k); the shuffle files go with the query."""
+    with own_settings(done.sparkSession):
+        return {(r.what, r.k): r.n for r in done.groupBy("what", "k").agg(F.sum("n").alias("n")).collect()}
+
+
+_TOLD = "what string, k long, n long"
+
+
+def _several(what: str, counts: np.ndarray) -> pa.RecordBatch:
+    """How many counts are 1, 2, 3, 4, and how many there are (k = 0)."""
+    return pa.RecordBatch.from_arrays([pa.array([what] * 5), pa.array([0, 1, 2, 3, 4]), pa.array([len(counts), *(int((counts == k).sum()) for k in (1, 2, 3, 4))])], ["what", "k", "n"])
+
+
+def _count_bigrams(texts: DataFrame, folder: str, bits: int) -> dict[tuple[str, int], int]:
+    """Writes the bigrams and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, n = Vocabulary(folder, bits), [], 0
         for batch in batches:
             for _, part in _chunks(batch, 0):
                 ids, first = words.sequences(part)
-                before = np.concatenate([[words.begin], ids[:-1]])
-                before[first] = words.begin
-                held.append((before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) * np.uint64(SPREAD))
+                held.append(_pair(words.before(ids, first), ids))
                 n += len(ids)
                 if n >= HELD_TOKENS:
                     yield _blocks(*np.unique(np.concatenate(held), return_counts=True), bits)
@@ -218,56 +268,117 @@ def _count_bigrams(texts: DataFrame, folder: str, bits: int, size: int) -> tuple
         if n:
             yield _blocks(*np.unique(np.concatenate(held), return_counts=True), bits)
 
-    def numbered(part: str, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        ids, counts = _added(ids, counts)
-        bucket = (ids // np.uint64(width)).astype(np.int64)
-        first = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1])
-        spans = list(zip(first.tolist(), [*first[1:].tolist(), len(ids)]))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[first].astype(np.int32)),
-                pa.array([part] * len(spans), pa.string()),
-                pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([counts[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()),
-            ],
-            ["bucket", "part", "keys", "counts"],
-        )
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, _, keys, counts in _buckets(batches):
             _write(f"{folder}/bigram-{bucket}.key", keys)
             _write_counts(f"{folder}/bigram-{bucket}.count", counts)
-            pairs = keys * np.uint64(UNSPREAD)
-            before, after = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-            one = np.ones(len(keys), np.uint64)
-            yield numbered("total", before, counts)
+            yield _several("bigrams", counts)
+
+    return _run(_gathered(texts.mapInArrow(count, _BLOCK), bits).mapInArrow(write, _TOLD))
+
+
+def _count_trigrams(texts: DataFrame, folder: str, bits: int, part: int) -> dict[tuple[str, int], int]:
+    """Writes the trigrams of a part of the buckets, their counts, and how many of 1, 2, 3 or more
+    each bigram begins."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, held, n = Vocabulary(folder, bits), _Arrays(folder, "bigram", bits), [], 0
+        for batch in batches:
+            for _, texts_here in _chunks(batch, 0):
+                ids, first = words.sequences(texts_here)
+                keys, at = np.unique(_pair(words.before(ids, first), ids), return_inverse=True)
+                place, bucket = pairs.find(keys), _bucket(keys, bits)
+                place, bucket = (place - pairs.offset[bucket])[at], bucket[at]
+                inside = np.ones(len(ids), bool)  # what a bigram stands before: all but the first of a text
+                inside[first] = False
+                here = np.nonzero(inside[1:] & (bucket[:-1] % ROUNDS == part))[0]
+                held.append((bucket[here], place[here].astype(np.uint64) << np.uint64(32) | ids[here + 1].astype(np.uint64)))
+                n += len(here)
+                if n >= HELD_TOKENS:
+                    yield added(held)
+                    held, n = [], 0
+        if n:
+            yield added(held)
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, keys = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((keys, bucket))
+        bucket, keys = bucket[order], keys[order]
+        first = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])]))[0]
+        return _rows(bucket[first], keys[first], np.diff(np.append(first, len(keys))))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _, keys, counts in _buckets(batches):
+            _write(f"{folder}/trigram-{bucket}.key", keys)
+            _write_counts(f"{folder}/trigram-{bucket}.count", counts)
+            size = os.path.getsize(f"{folder}/bigram-{bucket}.key") // 8
+            place = (keys >> np.uint64(32)).astype(np.int64)
             for k in (1, 2, 3):
-                own = counts == k if k < 3 else counts >= 3
-                if own.any():
+                _write_counts(f"{folder}/begins{k}-{bucket}", np.bincount(place[counts == k if k < 3 else counts >= 3], minlength=size))
+            yield _several("trigrams", counts)
+
+    return _run(_gathered(texts.mapInArrow(count, _BLOCK), bits).mapInArrow(write, _TOLD))
+
+
+def _count_before(spark: SparkSession, folder: str, bits: int, size: int, part: int) -> dict[tuple[str, int], int]:
+    """Writes how many words each bigram of a part of the buckets follows, from the trigrams."""
+    buckets = spark.range(1 << bits).repartitionById(1 << bits, F.col("id").cast("int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                if b % ROUNDS == part:  # a bucket may have no trigram that ends on a bigram of its own
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([""]), pa.array([b""]), pa.array([b""])], ["bucket", "part", "keys", "counts"])
+                keys = _read(f"{folder}/trigram-{b}.key", "<u8")
+                middle = _parted(np.asarray(_read(f"{folder}/bigram-{b}.key", "<u8")))[1]
+                for lo in range(0, len(keys), HELD_TOKENS):
+                    own = np.asarray(keys[lo : lo + HELD_TOKENS])
+                    own = _pair(middle[(own >> np.uint64(32)).astype(np.int64)], own & _LOW)
+                    own = own[_bucket(own, bits) % ROUNDS == part]
+                    yield _blocks(*np.unique(own, return_counts=True), bits)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _, keys, counts in _buckets(batches):
+            held = np.asarray(_read(f"{folder}/bigram-{bucket}.key", "<u8"))
+            found = np.where(_parted(held)[0] == size, np.asarray(_read_counts(f"{folder}/bigram-{bucket}.count")).astype(np.uint64), np.uint64(0))
+            found[np.searchsorted(held, keys)] = counts
+            _write_counts(f"{folder}/bigram-{bucket}.before", found)
+            yield _several("before", found)
+
+    return _run(_gathered(buckets.mapInArrow(count, _BLOCK), bits).mapInArrow(write, _TOLD))
+
+
+def _count_contexts(spark: SparkSession, folder: str, bits: int, size: int, name: str) -> dict[tuple[str, int], int]:
+    """Writes, by the numbers of words, what bigrams say of them: as context the sum of the counts
+    `name` and how many are 1, 2, 3 or more, and in how many different contexts each follows."""
+    width = max(1, -(-(size + 1) // (1 << bits)))  # word numbers for each bucket
+    buckets = spark.range(1 << bits).repartitionById(1 << bits, F.col("id").cast("int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                before, after = _parted(np.asarray(_read(f"{folder}/bigram-{b}.key", "<u8")))
+                counts = np.asarray(_read_counts(f"{folder}/bigram-{b}.{name}")).astype(np.uint64)
+                one = np.ones(len(counts), np.uint64)
+                yield numbered("total", before, counts)
+                for k in (1, 2, 3):
+                    own = counts == k if k < 3 else counts >= 3
                     yield numbered(f"n{k}", before[own], one[own])
-            yield numbered("follows", after, one)
-            several = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1], pa.int32()), pa.array(["several"]), pa.array([np.arange(1, 5, dtype="<u8").tobytes()]), pa.array([several.astype("<u8").tobytes()])],
-                ["bucket", "part", "keys", "counts"],
-            )
-
-    def write_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield numbered("follows", after, one)
+
+    def numbered(part: str, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        ids, counts = _added(ids, counts)
+        return _rows((ids // np.uint64(width)).astype(np.int64), ids, counts, part)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, part, ids, counts in _buckets(batches):
-            if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(["bigrams"] * 4), pa.array([1, 2, 3, 4]), pa.array(counts.astype(np.int64))], ["what", "k", "n"])
-                continue
             dense = np.zeros(width, "<u8")
             dense[(ids - np.uint64(bucket * width)).astype(np.int64)] = counts
             _write_counts(f"{folder}/{part}-{bucket}", dense)
             if part == "follows":
-                yield pa.RecordBatch.from_arrays([pa.array(["words"] * 4), pa.array([1, 2, 3, 4]), pa.array([int((counts == k).sum()) for k in (1, 2, 3, 4)])], ["what", "k", "n"])
+                yield _several("words", counts)
 
-    counted = _gathered(texts.mapInArrow(count, _BLOCK), bits).mapInArrow(write, _BLOCK)
-    done = _gathered(counted, bits).mapInArrow(write_numbered, "what string, k long, n long")
-    with own_settings(texts.sparkSession):
-        found = {(r.what, r.k): r.n for r in done.groupBy("what", "k").agg(F.sum("n").alias("n")).collect()}
-    return [found.get(("bigrams", k), 0) for k in (1, 2, 3, 4)], [found.get(("words", k), 0) for k in (1, 2, 3, 4)]
+    return _run(_gathered(buckets.mapInArrow(count, _BLOCK), bits).mapInArrow(write, _TOLD))
 
 
 def discounts(several: list[int]) -> list[float]:
@@ -286,19 +397,24 @@ class Model:
     """A trained model, as its folder has it in model.json."""
 
     folder: str
+    order: int
     bits: int
     train_tokens: int
     size: int  # different tokens, the end among them
+    trigram_discounts: tuple[float, ...]
     bigram_discounts: tuple[float, ...]
     word_discounts: tuple[float, ...]
     bigrams: int
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     """A model of all rows of docs, whole texts, each followed by an end; a null text is empty.
 
-    An empty table gives a model in which every token is unknown.
+    order: 2 or 3, the words of the longest n-grams. An empty table gives a model in which every
+    token is unknown.
     """
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -309,9 +425,15 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     size = sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x.startswith("word-") and x.endswith(".key")) // 8
     if size >= 2**32 - 1:
         raise ValueError(f"a bigram holds two word numbers of 32 bits, and the corpus has {size} different words")
-    pairs, follows = _count_bigrams(texts, folder, bits, size)
-    bigrams = sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x.startswith("bigram-") and x.endswith(".key")) // 8
-    model = Model(folder, bits, n, size, tuple(discounts(pairs)), tuple(discounts(follows)), bigrams)
+    told = Counter(_count_bigrams(texts, folder, bits))
+    if order == 3:
+        for part in range(ROUNDS):
+            told.update(_count_trigrams(texts, folder, bits, part))
+        for part in range(ROUNDS):
+            told.update(_count_before(spark, folder, bits, size, part))
+    told.update(_count_contexts(spark, folder, bits, size, "before" if order == 3 else "count"))
+    taken = lambda what: tuple(discounts([told[what, k] for k in (1, 2, 3, 4)]))
+    model = Model(folder, order, bits, n, size, taken("trigrams"), taken("before" if order == 3 else "bigrams"), taken("words"), told["bigrams", 0])
     with open(f"{folder}/model.json", "w", encoding="utf-8") as file:
         json.dump(model.__dict__, file)
     return model
@@ -327,7 +449,12 @@ class Scorer:
         self.width = max(1, -(-(model.size + 1) // (1 << b)))
         self.of = {x: [_read_counts(f"{f}/{x}-{k}") for k in range(1 << b)] for x in ("total", "n1", "n2", "n3", "follows")}
         self.word_counts = [_read_counts(f"{f}/word-{k}.count") for k in range(1 << b)]
-        self.bigram_counts = [_read_counts(f"{f}/bigram-{k}.count") for k in range(1 << b)]
+        counts = lambda name: [_read_counts(f"{f}/{name}".format(k)) for k in range(1 << b)]
+        self.bigram_counts = counts("bigram-{}.count")
+        if model.order == 3:
+            self.before = counts("bigram-{}.before")
+            self.trigrams, self.trigram_counts = [_read(f"{f}/trigram-{k}.key", "<u8") for k in range(1 << b)], counts("trigram-{}.count")
+            self.begins = [counts(f"begins{k}-{{}}") for k in (1, 2, 3)]
         d = np.array([0.0, *model.word_discounts])
         several = np.zeros(4)
         for part in self.of["follows"]:
@@ -346,12 +473,13 @@ class Scorer:
 
     @staticmethod
     def _placed(parts: list[np.ndarray], offset: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of places over all files, in any order; 0 for place -1."""
+        """Of places over all files, in any order; 0 for place -1, and in files that nothing was written to."""
         order = np.argsort(at, kind="stable")
         sorted_at, out = at[order], np.zeros(len(at))
         cut = np.searchsorted(sorted_at, offset)
         for b in np.nonzero(np.diff(cut))[0].tolist():
-            out[order[cut[b] : cut[b + 1]]] = parts[b][sorted_at[cut[b] : cut[b + 1]] - offset[b]]
+            if len(parts[b]):
+                out[order[cut[b] : cut[b + 1]]] = parts[b][sorted_at[cut[b] : cut[b + 1]] - offset[b]]
         return out
 
     def word_probability(self, ids: np.ndarray) -> np.ndarray:
@@ -360,30 +488,65 @@ class Scorer:
         less = np.array([0.0, *self.model.word_discounts])[np.minimum(follows, 3).astype(np.int64)]
         return (follows - less) / max(1, self.model.bigrams) + self.rest
 
-    def probability(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    def _bigram_places(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Over all files; -1 where a word or the bigram is not known."""
+        keys, at = np.unique(_pair(np.maximum(before, 0), np.maximum(after, 0)), return_inverse=True)
+        return np.where((before >= 0) & (after >= 0), self.bigrams.find(keys)[at], -1)
+
+    def _trigram_counts(self, place: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """place: of the first two words among the bigrams, or -1."""
+        out, known = np.zeros(len(place)), np.nonzero((place >= 0) & (after >= 0))[0]
+        known = known[np.lexsort((after[known], place[known]))]
+        offset = self.bigrams.offset
+        cut = np.searchsorted(place[known], offset)
+        for b in np.nonzero(np.diff(cut))[0].tolist():
+            held, own = self.trigrams[b], known[cut[b] : cut[b + 1]]
+            if len(held):
+                keys = (place[own] - offset[b]).astype(np.uint64) << np.uint64(32) | after[own].astype(np.uint64)
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                out[own] = np.where(held[at] == keys, self.trigram_counts[b][at], 0)
+        return out
+
+    def probability(self, before: np.ndarray, after: np.ndarray, context: np.ndarray | None = None, place: np.ndarray | None = None) -> np.ndarray:
+        """Of the tokens after, each behind a token before; context: the places among the bigrams of
+        the two tokens that stand before it (-1: not known, or only one does). place: those of
+        (before, after), where they are known."""
         words, at_word = np.unique(after, return_inverse=True)
         contexts, at_context = np.unique(before, return_inverse=True)
         low = self.word_probability(words)[at_word]
         known = contexts >= 0
-        total, n1, n2, n3 = (self._numbered(x, np.maximum(contexts, 0)) * known for x in ("total", "n1", "n2", "n3"))
-        d1, d2, d3 = self.model.bigram_discounts
-        weight = np.where(total > 0, (d1 * n1 + d2 * n2 + d3 * n3) / np.maximum(total, 1), 1.0)
-        keys = (np.maximum(before, 0).astype(np.uint64) << np.uint64(32) | np.maximum(after, 0).astype(np.uint64)) * np.uint64(SPREAD)
-        keys, at_key = np.unique(keys, return_inverse=True)
-        counts = self._placed(self.bigram_counts, self.bigrams.offset, self.bigrams.find(keys))[at_key]
-        counts = counts * ((before >= 0) & (after >= 0))
-        less = np.array([0.0, d1, d2, d3])[np.minimum(counts, 3).astype(np.int64)]
-        return (counts - less) / np.maximum(total, 1)[at_context] + weight[at_context] * low
+        total, *some = (self._numbered(x, np.maximum(contexts, 0)) * known for x in ("total", "n1", "n2", "n3"))
+        weight = np.where(total > 0, self._kept(self.model.bigram_discounts, some) / np.maximum(total, 1), 1.0)
+        place = self._bigram_places(before, after) if place is None else place
+        counts = self._placed(self.before if self.model.order == 3 else self.bigram_counts, self.bigrams.offset, place)
+        middle = self._less(self.model.bigram_discounts, counts) / np.maximum(total, 1)[at_context] + weight[at_context] * low
+        if self.model.order == 2 or context is None:
+            return middle
+        at = lambda parts: self._placed(parts, self.bigrams.offset, context)
+        kept = self._kept(self.model.trigram_discounts, [at(x) for x in self.begins])
+        total = at(self.bigram_counts) * (kept > 0)  # a bigram begins a trigram each time but at the end of a text
+        weight = np.where(total > 0, kept / np.maximum(total, 1), 1.0)
+        return self._less(self.model.trigram_discounts, self._trigram_counts(context, after)) / np.maximum(total, 1) + weight * middle
+
+    @staticmethod
+    def _less(d: tuple[float, ...], counts: np.ndarray) -> np.ndarray:
+        return counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
+
+    @staticmethod
+    def _kept(d: tuple[float, ...], several: list[np.ndarray]) -> np.ndarray:
+        return sum(x * n for x, n in zip(d, several))
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: tokens, known ones, log10 probability with add-one words, and of the model."""
         ids, first = self.words.sequences(texts)
-        before = np.concatenate([[self.words.begin], ids[:-1]])
-        before[first] = self.words.begin
+        before = self.words.before(ids, first)
         words, at = np.unique(ids, return_inverse=True)
         counts = self._placed(self.word_counts, self.words.arrays.offset, words)
         base = np.log10((counts + 1) / (self.model.train_tokens + self.model.size + 1))[at]
-        score = np.log10(self.probability(before, ids))
+        place = self._bigram_places(before, ids)
+        context = np.concatenate([[-1], place[:-1]])
+        context[first] = -1
+        score = np.log10(self.probability(before, ids, context, place))
         sums = lambda x: np.add.reduceat(x, first)
         return sums(np.ones(len(ids), np.int64)), sums((ids >= 0).astype(np.int64)), sums(base), sums(score)
 

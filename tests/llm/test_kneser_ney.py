@@ -20,22 +20,31 @@ def words(text):
 class Brute:
     """The same model by the book, with dictionaries."""
 
-    def __init__(self, texts):
-        self.words, self.pairs = Counter(), Counter()
+    def __init__(self, texts, order=3):
+        self.words, raw, self.trios, self.order = Counter(), Counter(), Counter(), order
         for t in texts:
-            before = "<begin>"
+            far, before = None, "<begin>"
             for w in words(t):
                 self.words[w] += 1
-                self.pairs[before, w] += 1
-                before = w
+                raw[before, w] += 1
+                if far is not None:
+                    self.trios[far, before, w] += 1
+                far, before = before, w
+        self.pairs = raw
+        if order == 3:
+            self.pairs = Counter((b, c) for _, b, c in self.trios) + Counter({k: n for k, n in raw.items() if k[0] == "<begin>"})
         self.n, self.v = sum(self.words.values()), len(self.words)
         self.follows = Counter(w for _, w in self.pairs)
-        contexts = defaultdict(list)
-        for (a, _), c in self.pairs.items():
-            contexts[a].append(c)
         some = lambda x: discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)])
-        self.d2, self.d1 = some(self.pairs), some(self.follows)
-        self.contexts = {a: (sum(x), sum(self.less(self.d2, c) for c in x) / sum(x)) for a, x in contexts.items()}
+        self.d3, self.d2, self.d1 = some(self.trios), some(self.pairs), some(self.follows)
+
+        def contexts(counts, d):
+            held = defaultdict(list)
+            for k, c in counts.items():
+                held[k[:-1]].append(c)
+            return {a: (sum(x), sum(self.less(d, c) for c in x) / sum(x)) for a, x in held.items()}
+
+        self.contexts, self.longer = contexts(self.pairs, self.d2), contexts(self.trios, self.d3)
         self.rest = sum(self.less(self.d1, c) for c in self.follows.values()) / max(1, len(self.pairs))
 
     @staticmethod
@@ -49,19 +58,26 @@ class Brute:
         return (self.follows[w] - self.less(self.d1, self.follows[w])) / total + self.rest / (self.v + 1)
 
     def p2(self, before, w):
-        if before not in self.contexts:
+        if (before,) not in self.contexts:
             return self.p1(w)
-        total, weight = self.contexts[before]
+        total, weight = self.contexts[before,]
         c = self.pairs[before, w]
         return (c - self.less(self.d2, c)) / total + weight * self.p1(w)
 
+    def p3(self, far, before, w):
+        if self.order == 2 or (far, before) not in self.longer:
+            return self.p2(before, w)
+        total, weight = self.longer[far, before]
+        c = self.trios[far, before, w]
+        return (c - self.less(self.d3, c)) / total + weight * self.p2(before, w)
+
     def score(self, text):
-        before, base, own, known = "<begin>", 0.0, 0.0, 0
+        far, before, base, own, known = None, "<begin>", 0.0, 0.0, 0
         for w in words(text):
             base += math.log10((self.words[w] + 1) / (self.n + self.v + 1))
-            own += math.log10(self.p2(before, w))
+            own += math.log10(self.p3(far, before, w))
             known += self.words[w] > 0
-            before = w
+            far, before = before, w
         return len(words(text)), known, base, own
 
 
@@ -96,11 +112,33 @@ def test_query_equals_brute_force_and_beats_the_base(spark, sf):
 
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a c", "b a", "a a a b d", None, "", "c c b a e f g h a b"]
-    model = train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    scorer = Scorer(model)
-    every = np.arange(-1, model.size)
-    for before in [*every.tolist(), scorer.words.begin]:
-        assert scorer.probability(np.full(len(every), before), every).sum() == pytest.approx(1)
+    for order in (2, 3):
+        model = train(spark.createDataFrame([(t,) for t in texts], "text string"), order=order)
+        scorer = Scorer(model)
+        every = np.arange(-1, model.size)
+        for before in [*every.tolist(), scorer.words.begin]:
+            for far in [None, *every.tolist(), scorer.words.begin] if order == 3 else [None]:
+                place = np.full(1, -1) if far is None else scorer._bigram_places(np.full(1, far), np.full(1, before))
+                assert scorer.probability(np.full(len(every), before), every, np.full(len(every), place[0])).sum() == pytest.approx(1)
+
+
+def test_order_two_equals_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    brute = Brute([t for _, t in rows[:100]], order=2)
+    model = train(spark.createDataFrame(rows[:100], "doc_id long, text string"), order=2)
+    got = {r.id: r for r in score(docs, model).collect()}
+    for i, t in rows:
+        close((got[i].n_tokens, got[i].n_known, got[i].base_score, got[i].score), brute.score(t))
+    with pytest.raises(ValueError):
+        train(docs, order=4)
+
+
+def test_the_longer_order_tells_more_of_held_out_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["text"])
+    held, rest = docs.where("doc_id % 5 = 0"), docs.where("doc_id % 5 <> 0")
+    two, three = (score(held, train(rest, order=k)).groupBy().sum("score", "base_score").first() for k in (2, 3))
+    assert three[0] > three[1] and two[0] > two[1]
 
 
 def test_defined_cases(spark):
