@@ -84,16 +84,17 @@ def triggers(data: np.ndarray, length: int, stretch: int) -> tuple[np.ndarray, n
 
 
 #: key: name of the stretch; whole: of all bytes from first to end; first, last: the starts; lead:
-#: bytes from the first start to the trigger; single: whether spans are wanted.
-_COLUMNS = "key long, whole long, k1 long, k2 long, first int, last int, lead int, end int, single boolean"
+#: bytes from the first start to the trigger; single: whether spans are wanted; home: where in the
+#: text the bytes begin that are at hand of it.
+_COLUMNS = "key long, whole long, k1 long, k2 long, home int, first int, last int, lead int, end int, single boolean"
 _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
-def _rows(key: list[int], whole: list[int], k1: int, k2: int, first: np.ndarray, last: np.ndarray, lead: np.ndarray, end: np.ndarray, single: np.ndarray) -> pa.RecordBatch:
+def _rows(key: list[int], whole: list[int], k1: int, k2: int, home: int, first: np.ndarray, last: np.ndarray, lead: np.ndarray, end: np.ndarray, single: np.ndarray) -> pa.RecordBatch:
     n = len(first)
     names = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (key, whole))
     keys = (pa.array(np.full(n, k, np.int64)) for k in (k1, k2))
-    ints = (pa.array(x.astype(np.int32)) for x in (first, last, lead, end))
+    ints = (pa.array(x.astype(np.int32)) for x in (np.full(n, home), first, last, lead, end))
     return pa.RecordBatch.from_arrays([*names, *keys, *ints, pa.array(single)], _NAMES)
 
 
@@ -121,31 +122,33 @@ def _phrases(rows: DataFrame, length: int, least: int, stretch: int) -> DataFram
                 end = np.minimum(last + length, len(view))
                 key = [digest(view[a : a + least - stretch + 1]) for a in at.tolist()]
                 whole = [digest(view[a:b], c) for a, b, c in zip(first.tolist(), end.tolist(), (at - first).tolist())]
-                yield _rows(key, whole, batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), first, last, at - first, end, np.ones(len(at), bool))
+                yield _rows(key, whole, batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), 0, first, last, at - first, end, np.ones(len(at), bool))
 
     long = rows.where(F.octet_length("text") >= least).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     return long.mapInArrow(lambda batches: _joined(run(batches)), _COLUMNS)
 
 
-def _with_texts(rows: DataFrame, left: DataFrame) -> DataFrame:
-    wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "first", "last", "lead", "end", "single")).alias("wanted"))
-    return rows.select("k1", "k2", F.col("text").cast("binary").alias("text")).join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+def _with_texts(texts: DataFrame, left: DataFrame) -> DataFrame:
+    """(k1, k2, home, text, wanted): texts with the rows of left that are cut out of each."""
+    by = ["k1", "k2", "home"]
+    wanted = left.groupBy(*by).agg(F.collect_list(F.struct("key", "first", "last", "lead", "end", "single")).alias("wanted"))
+    return texts.select(*by, "text").join(wanted.hint("shuffle_hash"), by)
 
 
 def _fields(wanted: pa.StructArray) -> list[np.ndarray]:
     return [wanted.field(x).to_numpy(zero_copy_only=False) for x in ("key", "first", "last", "lead", "end", "single")]
 
 
-def _parts(rows: DataFrame, left: DataFrame, length: int, least: int, part: int) -> DataFrame:
+def _parts(texts: DataFrame, left: DataFrame, length: int, least: int, part: int) -> DataFrame:
     """What is left of crowded stretches, in parts of so many starts counted back from the trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for k in range(batch.num_rows):
-                view = memoryview(batch.column(2)[k].as_buffer())
-                key, first, last, lead, _, single = _fields(batch.column(3)[k].values)
-                first, last, lead = (x.astype(np.int64) for x in (first, last, lead))
+                home, view = batch.column(2)[k].as_py(), memoryview(batch.column(3)[k].as_buffer())
+                key, first, last, lead, stop, single = _fields(batch.column(4)[k].values)
+                first, last, lead, stop = (x.astype(np.int64) for x in (first, last, lead, stop))
                 at = first + lead
                 low, high = (at - last) // part, lead // part  # parts by distance from the trigger
                 n = high - low + 1
@@ -153,13 +156,14 @@ def _parts(rows: DataFrame, left: DataFrame, length: int, least: int, part: int)
                 number = low[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = at[own]
                 begin, end = np.maximum(first[own], at - (number + 1) * part + 1), np.minimum(last[own], at - number * part)
-                stop = np.minimum(end + length, len(view))
-                inner = zip((at - number * part).tolist(), (at - (number + 1) * part + 1 + least).tolist(), (key[own].view(np.uint64) ^ number.astype(np.uint64)).tolist())
-                common = [digest(view[a:b], c) for a, b, c in inner]
-                whole = [digest(view[a:b], c) for a, b, c in zip(begin.tolist(), stop.tolist(), (at - begin).tolist())]
-                yield _rows(common, whole, batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), begin, end, at - begin, stop, single[own])
+                stop = np.minimum(end + length, stop[own])
+                cut = lambda a, b: zip((a - home).tolist(), (b - home).tolist())  # noqa: B023, E731
+                seeds = (key[own].view(np.uint64) ^ number.astype(np.uint64)).tolist()
+                common = [digest(view[a:b], c) for (a, b), c in zip(cut(at - number * part, at - (number + 1) * part + 1 + least), seeds)]
+                whole = [digest(view[a:b], c) for (a, b), c in zip(cut(begin, stop), (at - begin).tolist())]
+                yield _rows(common, whole, batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), home, begin, end, at - begin, stop, single[own])
 
-    return _with_texts(rows, left).mapInArrow(lambda batches: _joined(run(batches)), _COLUMNS)
+    return _with_texts(texts, left).mapInArrow(lambda batches: _joined(run(batches)), _COLUMNS)
 
 
 def neighbours(group: np.ndarray, words: list[memoryview], lead: np.ndarray, room: int, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -239,17 +243,26 @@ def runs(group: np.ndarray, words: list[memoryview], first: np.ndarray, last: np
     return out
 
 
-def _sorted_out(rows: DataFrame, left: DataFrame, length: int, least: int) -> DataFrame:
-    """(k1, k2, first, last, long): the repeated starts of the members of left, by step 3."""
+_WORD = "key long, k1 long, k2 long, first int, last int, lead int, single boolean, word binary"
+
+
+def _words(texts: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of left with their bytes, from the first start to the end."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                text, (key, first, last, lead, end, single) = batch.column(2)[k].as_py(), _fields(batch.column(3)[k].values)
-                word = pa.array([text[a:b] for a, b in zip(first.tolist(), end.tolist())], pa.binary())
+                home, text, (key, first, last, lead, end, single) = batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), _fields(batch.column(4)[k].values)
+                word = pa.array([text[a:b] for a, b in zip((first - home).tolist(), (end - home).tolist())], pa.binary())
                 keys = (pa.array(np.full(len(key), batch.column(c)[k].as_py(), np.int64)) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(key), *keys, *(pa.array(x) for x in (first, last, lead, single)), word], ["key", "k1", "k2", "first", "last", "lead", "single", "word"])
 
+    return _with_texts(texts, left).mapInArrow(lambda batches: _joined(cut(batches), 4096), _WORD)
+
+
+def _sorted_out(texts: DataFrame, left: DataFrame, length: int, least: int) -> DataFrame:
+    """(k1, k2, first, last, long): the repeated starts of the members of left, by step 3."""
+
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         key, k1, k2, first, last, lead, single = (table.column(c).to_numpy().astype(kind) for c, kind in zip(range(7), (*[np.int64] * 6, bool)))
@@ -275,8 +288,7 @@ def _sorted_out(rows: DataFrame, left: DataFrame, length: int, least: int) -> Da
         if held:
             yield from solve(held)
 
-    words = _with_texts(rows, left).mapInArrow(lambda batches: _joined(cut(batches), 4096), "key long, k1 long, k2 long, first int, last int, lead int, single boolean, word binary")
-    return words.repartition("key").sortWithinPartitions("key").mapInArrow(run, "k1 long, k2 long, first int, last int, long boolean")
+    return _words(texts, left).repartition("key").sortWithinPartitions("key").mapInArrow(run, "k1 long, k2 long, first int, last int, long boolean")
 
 
 def repeated_spans(rows: DataFrame, length: int = 400, least: int | None = None, stretch: int | None = None, crowd: int | None = None) -> DataFrame:
@@ -294,10 +306,10 @@ def repeated_spans(rows: DataFrame, length: int = 400, least: int | None = None,
     live = stored(phrases.join(again.hint("merge"), "key"), "live")
     discard(phrases)
     discard(again)
-    spans = []
+    spans, texts = [], rows.select("k1", "k2", F.lit(0).alias("home"), F.col("text").cast("binary").alias("text"))
     for part in (*PARTS, None):
         # the rows of each kind; those that occur once may still equal a part of another kind
-        kinds = live.groupBy("key", "whole").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct("k1", "k2", "first", "last", "lead", "end")).alias("one"))
+        kinds = live.groupBy("key", "whole").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct("k1", "k2", "home", "first", "last", "lead", "end")).alias("one"))
         kinds = stored(kinds, "kinds")
         settled = live.where("single").join(kinds.where("n > 1 AND single").select("key", "whole").hint("merge"), ["key", "whole"])
         if part is None:  # the key of a single string is the string: what shares it is repeated
@@ -314,13 +326,16 @@ def repeated_spans(rows: DataFrame, length: int = 400, least: int | None = None,
         left = kinds.join(mixed.hint("merge"), "key").select("key", "members", "one.*", F.expr("n = 1 AND single").alias("single"))
         left = stored(left, "left")
         discard(mixed)
-        spans.append(stored(_sorted_out(rows, left.where(F.col("members") <= crowd), length, least), "spans"))
+        spans.append(stored(_sorted_out(texts, left.where(F.col("members") <= crowd), length, least), "spans"))
         discard(kinds)
         crowded = left.where(F.col("members") > crowd)
         if crowded.isEmpty():
             discard(left)
             break
-        live = stored(_parts(rows, crowded, length, least, part), "parts")
+        if part == PARTS[0]:  # from here on what is looked at lies inside these words
+            texts = stored(_words(texts, crowded), "words").select("k1", "k2", F.col("first").alias("home"), F.col("word").alias("text"))
+            crowded = crowded.withColumn("home", F.col("first"))
+        live = stored(_parts(texts, crowded, length, least, part), "parts")
         discard(left)
     found = reduce(DataFrame.union, spans).select("k1", "k2", "long", F.struct(F.col("first").alias("begin"), (F.col("last") + F.when(F.col("long"), length).otherwise(least)).alias("end")).alias("s"))
     return found.groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("long"), F.col("s"))).alias("spans"), F.collect_list(F.when(~F.col("long"), F.col("s"))).alias("shorter"))
