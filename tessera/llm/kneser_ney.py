@@ -93,11 +93,15 @@ class _Arrays:
         self.keys = [_read(f"{folder}/{name}-{b}.key", "<u8") for b in range(1 << bits)]
         self.offset = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])]).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def cuts(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys (ascending) of each file begin and end."""
+        upper = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits) if self.bits else np.empty(0, np.uint64)
+        return np.concatenate([[0], np.searchsorted(keys, upper), [len(keys)]])
+
+    def find(self, keys: np.ndarray, cut: np.ndarray | None = None) -> np.ndarray:
         """The place of each of these keys (ascending) over all files, or -1."""
         out = np.full(len(keys), -1, np.int64)
-        upper = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits) if self.bits else np.empty(0, np.uint64)
-        cut = np.concatenate([[0], np.searchsorted(keys, upper), [len(keys)]])
+        cut = self.cuts(keys) if cut is None else cut
         for b in np.nonzero(np.diff(cut))[0].tolist():
             own, held = keys[cut[b] : cut[b + 1]], self.keys[b]
             if len(held):
@@ -105,6 +109,16 @@ class _Arrays:
                 out[cut[b] : cut[b + 1]] = np.where(held[at] == own, at + self.offset[b], -1)
         return out
 
+    def told(self, parts: list[np.ndarray], place: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """What files beside those of the keys say at the places that find() gave; 0 where it gave
+        none, and of files that nothing was written to."""
+        out = np.zeros(len(place))
+        for b in np.nonzero(np.diff(cut))[0].tolist():
+            if len(parts[b]):
+                own = place[cut[b] : cut[b + 1]]
+                out[cut[b] : cut[b + 1]] = np.where(own >= 0, parts[b][np.maximum(own - self.offset[b], 0)], 0)
+        return out
+
 
 class Vocabulary:
     def __init__(self, folder: str, bits: int):
@@ -132,7 +146,7 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(found, ends, END), np.concatenate([[0], ends[:-1] + np.arange(1, len(texts))]) if len(texts) else ends
 
 
-def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of a batch, some `size` bytes at once."""
     begin, held, texts = 0, 0, []
     for k in range(batch.num_rows):
@@ -302,7 +316,8 @@ def _count_trigrams(texts: DataFrame, folder: str, bits: int, part: int) -> dict
 
     def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         bucket, keys = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((keys, bucket))
+        wide = int(bucket.max(initial=0)).bit_length() + int(keys.max(initial=0)).bit_length() > 64
+        order = np.lexsort((keys, bucket)) if wide else np.argsort(bucket.astype(np.uint64) << np.uint64(int(keys.max(initial=0)).bit_length()) | keys)
         bucket, keys = bucket[order], keys[order]
         first = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])]))[0]
         return _rows(bucket[first], keys[first], np.diff(np.append(first, len(keys))))
@@ -488,54 +503,65 @@ class Scorer:
         less = np.array([0.0, *self.model.word_discounts])[np.minimum(follows, 3).astype(np.int64)]
         return (follows - less) / max(1, self.model.bigrams) + self.rest
 
-    def _bigram_places(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Over all files; -1 where a word or the bigram is not known."""
-        keys, at = np.unique(_pair(np.maximum(before, 0), np.maximum(after, 0)), return_inverse=True)
-        return np.where((before >= 0) & (after >= 0), self.bigrams.find(keys)[at], -1)
-
-    def _trigram_counts(self, place: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """place: of the first two words among the bigrams, or -1."""
-        out, known = np.zeros(len(place)), np.nonzero((place >= 0) & (after >= 0))[0]
-        known = known[np.lexsort((after[known], place[known]))]
-        offset = self.bigrams.offset
-        cut = np.searchsorted(place[known], offset)
+    def _bigram(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """What is known of bigrams (keys ascending): where they are, their counts as the end of an
+        n-gram, and of those that are contexts how often, and what their discounts leave."""
+        cut = self.bigrams.cuts(keys)
+        place = self.bigrams.find(keys, cut)
+        told = lambda parts: self.bigrams.told(parts, place, cut)
+        if self.model.order == 2:
+            return {"place": place, "cut": cut, "count": told(self.bigram_counts)}
+        kept = sum(d * told(x) for d, x in zip(self.model.trigram_discounts, self.begins))
+        # a bigram begins a trigram each time but at the end of a text
+        return {"place": place, "cut": cut, "count": told(self.before), "total": told(self.bigram_counts) * (kept > 0), "kept": kept}
+
+    def _trigram_counts(self, known: dict[str, np.ndarray], context: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """context: which of the known bigrams stands before; all of them and after are there."""
+        keys = context.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+        order = np.argsort(keys)
+        out, own, last = np.zeros(len(keys)), known["place"][context[order]], after[order].astype(np.uint64)
+        cut = np.searchsorted(context[order], known["cut"])
         for b in np.nonzero(np.diff(cut))[0].tolist():
-            held, own = self.trigrams[b], known[cut[b] : cut[b + 1]]
+            held, here = self.trigrams[b], slice(cut[b], cut[b + 1])
             if len(held):
-                keys = (place[own] - offset[b]).astype(np.uint64) << np.uint64(32) | after[own].astype(np.uint64)
-                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-                out[own] = np.where(held[at] == keys, self.trigram_counts[b][at], 0)
+                wanted = (own[here] - self.bigrams.offset[b]).astype(np.uint64) << np.uint64(32) | last[here]
+                at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                out[order[here]] = np.where(held[at] == wanted, self.trigram_counts[b][at], 0)
         return out
 
-    def probability(self, before: np.ndarray, after: np.ndarray, context: np.ndarray | None = None, place: np.ndarray | None = None) -> np.ndarray:
-        """Of the tokens after, each behind a token before; context: the places among the bigrams of
-        the two tokens that stand before it (-1: not known, or only one does). place: those of
-        (before, after), where they are known."""
+    def probability(self, before: np.ndarray, after: np.ndarray, far: np.ndarray | None = None) -> np.ndarray:
+        """Of the tokens after, each behind a token before, and one far before that (None: of none)."""
+        pair = lambda a, b: _pair(np.maximum(a, 0), np.maximum(b, 0))
+        there = (before >= 0) & (after >= 0)
+        if far is None:
+            keys, at = np.unique(pair(before, after), return_inverse=True)
+            return self._given(before, after, self._bigram(keys), at, there, np.zeros(len(at), np.int64), np.zeros(len(at), bool))
+        keys, at = np.unique(np.concatenate([pair(before, after), pair(far, before)]), return_inverse=True)
+        at, context = np.split(at, 2)
+        return self._given(before, after, self._bigram(keys), at, there, context, (far >= 0) & (before >= 0))
+
+    def _given(self, before: np.ndarray, after: np.ndarray, known: dict[str, np.ndarray], at: np.ndarray, there: np.ndarray, context: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """at: which of the known bigrams each (before, after) is, where both are there; context: which
+        one stands before after, where there is one (behind)."""
         words, at_word = np.unique(after, return_inverse=True)
         contexts, at_context = np.unique(before, return_inverse=True)
         low = self.word_probability(words)[at_word]
-        known = contexts >= 0
-        total, *some = (self._numbered(x, np.maximum(contexts, 0)) * known for x in ("total", "n1", "n2", "n3"))
-        weight = np.where(total > 0, self._kept(self.model.bigram_discounts, some) / np.maximum(total, 1), 1.0)
-        place = self._bigram_places(before, after) if place is None else place
-        counts = self._placed(self.before if self.model.order == 3 else self.bigram_counts, self.bigrams.offset, place)
-        middle = self._less(self.model.bigram_discounts, counts) / np.maximum(total, 1)[at_context] + weight[at_context] * low
-        if self.model.order == 2 or context is None:
+        total, *some = (self._numbered(x, np.maximum(contexts, 0)) * (contexts >= 0) for x in ("total", "n1", "n2", "n3"))
+        weight = np.where(total > 0, sum(d * n for d, n in zip(self.model.bigram_discounts, some)) / np.maximum(total, 1), 1.0)
+        middle = self._less(self.model.bigram_discounts, known["count"][at] * there) / np.maximum(total, 1)[at_context] + weight[at_context] * low
+        if self.model.order == 2:
             return middle
-        at = lambda parts: self._placed(parts, self.bigrams.offset, context)
-        kept = self._kept(self.model.trigram_discounts, [at(x) for x in self.begins])
-        total = at(self.bigram_counts) * (kept > 0)  # a bigram begins a trigram each time but at the end of a text
-        weight = np.where(total > 0, kept / np.maximum(total, 1), 1.0)
-        return self._less(self.model.trigram_discounts, self._trigram_counts(context, after)) / np.maximum(total, 1) + weight * middle
+        total = known["total"][context] * behind
+        long = np.nonzero((total > 0) & (after >= 0))[0]
+        counts = np.zeros(len(after))
+        counts[long] = self._trigram_counts(known, context[long], after[long])
+        weight = np.where(total > 0, known["kept"][context] / np.maximum(total, 1), 1.0)
+        return self._less(self.model.trigram_discounts, counts) / np.maximum(total, 1) + weight * middle
 
     @staticmethod
     def _less(d: tuple[float, ...], counts: np.ndarray) -> np.ndarray:
         return counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
-    @staticmethod
-    def _kept(d: tuple[float, ...], several: list[np.ndarray]) -> np.ndarray:
-        return sum(x * n for x, n in zip(d, several))
-
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: tokens, known ones, log10 probability with add-one words, and of the model."""
         ids, first = self.words.sequences(texts)
@@ -543,10 +569,12 @@ class Scorer:
         words, at = np.unique(ids, return_inverse=True)
         counts = self._placed(self.word_counts, self.words.arrays.offset, words)
         base = np.log10((counts + 1) / (self.model.train_tokens + self.model.size + 1))[at]
-        place = self._bigram_places(before, ids)
-        context = np.concatenate([[-1], place[:-1]])
-        context[first] = -1
-        score = np.log10(self.probability(before, ids, context, place))
+        keys, at_pair = np.unique(_pair(np.maximum(before, 0), np.maximum(ids, 0)), return_inverse=True)
+        there = (before >= 0) & (ids >= 0)
+        behind = np.concatenate([[False], there[:-1]])  # the bigram of the token before, inside a text
+        behind[first] = False
+        context = np.concatenate([[0], at_pair[:-1]])
+        score = np.log10(self._given(before, ids, self._bigram(keys), at_pair, there, context, behind))
         sums = lambda x: np.add.reduceat(x, first)
         return sums(np.ones(len(ids), np.int64)), sums((ids >= 0).astype(np.int64)), sums(base), sums(score)
 
