@@ -29,6 +29,8 @@ from tessera.llm.common import connected_components, local_components, stored
 BLOCKS, SEED = 4, 7
 #: Vectors at home in a task, others compared with them at once, and the most pivots.
 TILE, STEP, MOST_PIVOTS = 8192, 128, 256
+#: Pairs whose vectors are compared at once: a task holds several copies of both.
+CHECKED = 1 << 15
 #: Added to squared distances against rounding, before the exact check.
 SLACK = 1e-5
 
@@ -151,10 +153,9 @@ def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, t
             right = np.hstack([y, np.ones((len(y), 1)), (y * y).sum(axis=1)[:, None]]).astype(np.float32)
             near = self.left @ right.T <= np.float32(share[block] + SLACK)
             i, j = np.divmod(np.flatnonzero(near), len(y))
-            step = 200_000  # pairs checked at once
             out = []
-            for lo in range(0, len(i), step):
-                p, q = i[lo : lo + step], j[lo : lo + step]
+            for lo in range(0, len(i), CHECKED):
+                p, q = i[lo : lo + CHECKED], j[lo : lo + CHECKED]
                 ok = (self.ids[p] != ids[q]) & ((self.unit[p] * unit[q]).sum(axis=1) >= cosine)
                 p, q = p[ok], q[ok]
                 for k in range(block + 1):
@@ -172,9 +173,9 @@ def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, t
                 return
             names = np.unique(np.concatenate([self.tied, self.ids, others]))
             at = lambda v: np.searchsorted(names, v)
-            pairs = np.unique(np.stack([at(self.tied[p]), at(others)], axis=1), axis=0)
-            first = np.concatenate([pairs[:, 0], at(self.tied)])
-            second = np.concatenate([pairs[:, 1], at(self.ids)])
+            one, two = np.divmod(np.unique(at(self.tied[p]) * len(names) + at(others)), len(names))
+            first = np.concatenate([one, at(self.tied)])
+            second = np.concatenate([two, at(self.ids)])
             root = names[local_components(len(names), first, second)]
             self.tied = root[at(self.ids)]
             self.guests = getattr(self, "guests", [])
