@@ -11,26 +11,32 @@ the nearest one, and a guest in every cell whose border is within the range. Whi
 pivots changes the cost alone. A pair is found in the home cells of both its vectors, so the home
 cell of a vector finds all its links; a pair that an earlier block finds too is left to that one.
 A cell that holds much goes to several tasks, each with some of the vectors at home there; the
-others stream through. Tasks give sums for each vector and a tie to the least vector of what it
+guests stream through. Nothing is dealt out for this, since spread vectors are guests nearly
+everywhere: each vector lies once in flat files of the shared folder, with its homes, and tasks
+read there what they need. Tasks give sums for each vector and a tie to the least vector of what it
 is linked with there, never pairs, so groups of copies give rows in proportion to their size.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, local_components, stored
+from tessera.llm.common import connected_components, discard, local_components, mounted, scratch_path, stored
 
 BLOCKS, SEED = 4, 7
 #: Vectors at home in a task, others compared with them at once, and the most pivots.
 TILE, STEP, MOST_PIVOTS = 8192, 128, 256
 #: Pairs whose vectors are compared at once: a task holds several copies of both.
 CHECKED = 1 << 15
+#: Vectors that a task reads at once.
+READ = 1 << 14
 #: Added to squared distances against rounding, before the exact check.
 SLACK = 1e-5
 
@@ -62,15 +68,11 @@ def _binary(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, s
     return rows.mapInArrow(run, "id long, vec binary"), kind
 
 
-def _cells(unit: np.ndarray, turn: np.ndarray, pivots: np.ndarray, cuts: list[tuple[int, int]], block: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector its home cell in a block, and whether it is at home or a guest in each."""
-    a, b = cuts[block]
-    x, p = (unit @ turn)[:, a:b], (pivots @ turn)[:, a:b]
+def _homes(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of x its nearest of the pivots p, and how far that is."""
     near = ((x[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
     home = near.argmin(axis=1)
-    apart = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))[home]
-    border = (near - near[np.arange(len(x)), home][:, None]) / np.maximum(2 * apart, 1e-300)
-    return home, (border <= reach) | (np.arange(len(p)) == home[:, None])
+    return home, np.sqrt(near[np.arange(len(x)), home])
 
 
 def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, tile: int = TILE) -> DataFrame:
@@ -89,42 +91,69 @@ def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, t
         return spark.createDataFrame([], "id long, links long, tied long")
     pivots = _units(pa.array([bytes(r.vec) for r in chosen]), dim, kind)
     reach = [float(np.sqrt(s + SLACK)) for s in share]
-
-    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = _units(batch.column("vec"), dim, kind)
-            for k in range(len(cuts)):
-                home, n = np.unique(_cells(unit, turn, pivots, cuts, k, reach[k])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(home), k, np.int32)), pa.array(home.astype(np.int32)), pa.array(n)], ["block", "cell", "n"])
-
-    homes = classes.mapInArrow(at_home, "block int, cell int, n long").groupBy("block", "cell").agg(F.sum("n").alias("n"))
-    tiles = {(r.block, r.cell): -(-r.n // tile) for r in homes.collect()}  # BLOCKS * MOST_PIVOTS rows at most
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                unit, ids = _units(batch.column("vec"), dim, kind), batch.column("id").to_numpy()
-                spread = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                for k in range(len(cuts)):
-                    home, there = _cells(unit, turn, pivots, cuts, k, reach[k])
-                    for cell in np.nonzero(there.any(axis=0))[0].tolist():
-                        n = tiles.get((k, cell), 0)
-                        own = np.nonzero(there[:, cell])[0]
-                        for t in range(n):
-                            mine = (home[own] == cell) & (spread[own] % np.uint64(n) == t)
-                            same = lambda v: pa.array(np.full(len(own), v, np.int32))  # noqa: B023, E731
-                            part = batch.take(pa.array(own))
-                            yield pa.RecordBatch.from_arrays([same(k), same(cell), same(t), pa.array((~mine).astype(np.int32)), *(part.column(c) for c in ("id", "weight", "vec"))], ["block", "cell", "tile", "other", "id", "weight", "vec"])
-
-    by = ["block", "cell", "tile"]
-    dealt = classes.select("id", "weight", "vec").mapInArrow(deal, "block int, cell int, tile int, other int, id long, weight long, vec binary")
-    dealt = dealt.repartition(max(spark.sparkContext.defaultParallelism, sum(tiles.values())), *by).sortWithinPartitions(*by, "other")
+    corners = [(pivots @ turn)[:, a:b] for a, b in cuts]
+    apart = [np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)) for p in corners]
+    path = scratch_path(spark, "vector-files")
+    folder = mounted(path)
+    wide = dim * np.dtype(kind).itemsize
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        name, rows = os.urandom(12).hex(), 0  # a task that is run again writes files of its own
+        count = np.zeros((len(cuts), len(pivots)), np.int64)
+        with ExitStack() as stack:
+            part = lambda x: stack.enter_context(open(f"{folder}/{name}.{x}", "wb"))
+            ids, weights, vecs = part("id"), part("weight"), part("vec")
+            homes = [(part(f"home{k}"), part(f"far{k}")) for k in range(len(cuts))]
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 500):
+                    batch = whole.slice(lo, 500)
+                    turned = _units(batch.column("vec"), dim, kind) @ turn
+                    ids.write(batch.column("id").to_numpy().astype("<i8").tobytes())
+                    weights.write(batch.column("weight").to_numpy().astype("<i8").tobytes())
+                    vecs.write(b"".join(batch.column("vec").to_pylist()))
+                    rows += batch.num_rows
+                    for k, (a, b) in enumerate(cuts):
+                        home, far = _homes(turned[:, a:b], corners[k])
+                        count[k] += np.bincount(home, minlength=len(pivots))
+                        homes[k][0].write(home.astype("<i2").tobytes())
+                        homes[k][1].write(far.astype("<f4").tobytes())
+        k, cell = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(np.full(len(k), rows)), pa.array(k.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(count[k, cell])], ["name", "rows", "block", "cell", "n"])
+
+    homes = stored(classes.select("id", "weight", "vec").mapInArrow(write, "name string, rows long, block int, cell int, n long"), "vector-homes")
+    files = [tuple(r) for r in homes.select("name", "rows").distinct().orderBy("name").collect()]  # one a task
+    held = homes.groupBy("block", "cell").agg(F.sum("n").alias("n")).orderBy("block", "cell").collect()  # BLOCKS * MOST_PIVOTS rows at most
+    discard(homes)
+    tiles = [(r.block, r.cell, t, -(-r.n // tile)) for r in held for t in range(-(-r.n // tile))]
+
+    def chunks(block: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+        """(file, first row, homes, how far from them) of some rows after the other."""
+        for name, rows in files:
+            for lo in range(0, rows, READ):
+                n = min(READ, rows - lo)
+                yield name, lo, _read(name, f"home{block}", "<i2", lo, n), _read(name, f"far{block}", "<f4", lo, n)
+
+    def _read(name: str, part: str, kind: str, lo: int, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.fromfile(f"{folder}/{name}.{part}", kind, n, offset=lo * size)
+
+    def rows_of(name: str, lo: int, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, weights, unit vectors) of the rows at, of n from lo on."""
+        vec = np.fromfile(f"{folder}/{name}.vec", kind, n * dim, offset=lo * wide).reshape(n, dim)[at].astype(np.float64)
+        return _read(name, "id", "<i8", lo, n)[at], _read(name, "weight", "<i8", lo, n)[at], vec / np.linalg.norm(vec, axis=1)[:, None]
+
+    def own_of(cell: int, t: int, n: int, name: str, lo: int, home: np.ndarray) -> np.ndarray:
+        """Which rows are at home in a tile."""
+        own = home == cell
+        if n > 1 and own.any():
+            spread = _read(name, "id", "<i8", lo, len(home)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            own &= spread % np.uint64(n) == t
+        return own
 
     class Tile:
         def __init__(self, key: tuple[int, int, int]):
             self.key, self.ids, self.weights, self.units = key, [], [], []
-            self.ready = False
 
         def home(self, ids: np.ndarray, weights: np.ndarray, unit: np.ndarray) -> None:
             self.ids.append(ids)
@@ -141,7 +170,6 @@ def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, t
             self.left = np.hstack([-2 * x, (x * x).sum(axis=1)[:, None], np.ones((len(x), 1))]).astype(np.float32)
             self.links = np.zeros(len(self.ids), np.int64)
             self.tied = self.ids.copy()  # the least id tied with each vector at home
-            self.ready = True
             for lo in range(0, len(self.ids), STEP):
                 self.against(self.ids[lo : lo + STEP], self.weights[lo : lo + STEP], self.unit[lo : lo + STEP])
 
@@ -192,36 +220,39 @@ def link_vectors(classes: DataFrame, kind: str, dim: int, cosine: float = 0.9, t
     def batch(ids: np.ndarray, links: np.ndarray, tied: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(tied)], ["id", "links", "tied"])
 
+    def joined(block: int, cell: int, t: int, n: int) -> Iterator[pa.RecordBatch]:
+        now = Tile((block, cell, t))
+        for name, lo, home, _ in chunks(block):
+            own = own_of(cell, t, n, name, lo, home)
+            if own.any():
+                now.home(*rows_of(name, lo, len(home), own))
+        if not now.ids:
+            return
+        now.begin()
+        a, b = cuts[block]
+        for name, lo, home, far in chunks(block):
+            # half the way between the pivots is the border: who is well before it needs no look
+            there = (apart[block][home, cell] / 2 - far <= reach[block] + 1e-4) & ~own_of(cell, t, n, name, lo, home)
+            if not there.any():
+                continue
+            ids, weights, unit = rows_of(name, lo, len(home), there)
+            home = home[there]
+            x = (unit @ turn)[:, a:b]
+            border = ((x - corners[block][cell]) ** 2).sum(axis=1) - ((x - corners[block][home]) ** 2).sum(axis=1)
+            guest = (border / np.maximum(2 * apart[block][home, cell], 1e-300) <= reach[block]) | (home == cell)
+            ids, weights, unit = ids[guest], weights[guest], unit[guest]
+            for k in range(0, len(ids), STEP):
+                now.against(ids[k : k + STEP], weights[k : k + STEP], unit[k : k + STEP])
+        yield from now.rows()
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        for whole in batches:
-            for lo in range(0, whole.num_rows, STEP):
-                part = whole.slice(lo, STEP)
-                keys = np.stack([part.column(c).to_numpy() for c in range(4)], axis=1)
-                cut = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(keys)]
-                for a, b in zip(cut, cut[1:]):
-                    key, other = tuple(keys[a, :3].tolist()), keys[a, 3]
-                    if now is None or now.key != key:
-                        if now is not None:
-                            now.ready or now.begin()
-                            yield from now.rows()
-                        now = Tile(key)
-                        if other:  # nobody at home in this tile
-                            now.ids = now.ready = None
-                    if now.ids is None:
-                        continue
-                    piece = part.slice(a, b - a)
-                    args = piece.column("id").to_numpy(), piece.column("weight").to_numpy(), _units(piece.column("vec"), dim, kind)
-                    if not other:
-                        now.home(*args)
-                    else:
-                        now.ready or now.begin()
-                        now.against(*args)
-        if now is not None and now.ids is not None:
-            now.ready or now.begin()
-            yield from now.rows()
-
-    return dealt.mapInArrow(join, "id long, links long, tied long")
+        for numbers in batches:
+            for number in numbers.column(0).to_pylist():
+                yield from joined(*tiles[number])
+
+    out = spark.range(0, len(tiles), 1, len(tiles)).mapInArrow(join, "id long, links long, tied long")
+    out.tessera_path = path
+    return out
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, tile: int = TILE) -> DataFrame:
@@ -240,19 +271,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     # one row for each vector, told apart by a number, since ids may repeat
     classes = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
+    members = stored(rows.join(classes.select("vec", F.col("id").alias("class")), "vec", "left").select("id", "class"), "vector-members")
+    discard(rows)
     sizes = [r[0] for r in classes.select(F.length("vec")).distinct().limit(2).collect()]
     if len(sizes) > 1:
         raise ValueError("vectors of different lengths can't be compared")
     dim = sizes[0] // np.dtype(kind).itemsize if sizes else 1
-    found = stored(link_vectors(classes.select("id", "weight", "vec"), kind, dim, cosine, tile), "vector-links")
+    linked = link_vectors(classes.select("id", "weight", "vec"), kind, dim, cosine, tile)
+    found = stored(linked, "vector-links")
+    if sizes:
+        discard(linked)
+    own = stored(classes.select(F.col("id").alias("class"), "least", "weight"), "vector-sizes")
+    discard(classes)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     ties = connected_components(found.select(F.col("id").alias("src"), F.col("tied").alias("dst")))
-    known = classes.join(links, "id", "left").join(ties, F.col("id") == F.col("node"), "left").select(
-        "vec", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")
+    known = own.join(links, F.col("class") == F.col("id"), "left").join(ties, F.col("class") == F.col("node"), "left").select(
+        "class", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "class").alias("component")
     )
     known = stored(known, "vector-known")
     names = stored(known.groupBy("component").agg(F.min("least").alias("component_id")), "vector-names")
-    known = stored(known.join(names, "component").select("vec", "n_links", "component_id"), "vector-named")
-    by_row = rows.join(known, "vec", "left")
+    known = stored(known.join(names, "component").select("class", "n_links", "component_id"), "vector-named")
+    by_row = members.join(known, "class", "left")
     component = F.coalesce("component_id", "id")
     return by_row.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -74,6 +74,17 @@ def test_a_pair_is_counted_once_whatever_blocks_find_it(spark):
     assert {r.id: r.n for r in got.groupBy("id").agg(F.sum("links").alias("n")).where("n > 0").collect()} == {i: n for i, (n, _, _) in want.items() if n}
 
 
+def test_vectors_are_not_dealt_out_to_the_cells_they_visit(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(400)] + clustered(300, 16, 6)
+    rows = [(k, v) for k, (_, v) in enumerate(rows)]
+    packed, kind = _binary(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    got = link_vectors(packed.withColumn("weight", F.lit(1).cast("long")), kind, 16, tile=40)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = brute(spark.createDataFrame(rows, "vec_id long, embedding array<float>").collect())
+    assert {r.id: r.n for r in got.groupBy("id").agg(F.sum("links").alias("n")).where("n > 0").collect()} == {i: n for i, (n, _, _) in want.items() if n}
+
+
 def test_rotation_is_orthogonal():
     r = rotation(20)
     assert np.allclose(r @ r.T, np.eye(20))
