@@ -452,7 +452,7 @@ def test_a_deleted_row_gets_its_vector_too(spark):
     same_as_sql(spark, "op_replace_vec", sf)
 
 
-@pytest.mark.parametrize("name", ["graph_search", "graph_remove"])
+@pytest.mark.parametrize("name", ["graph_search", "graph_remove", "graph_recall"])
 def test_what_the_beam_misses_is_added(spark, monkeypatch, sf, name):
     monkeypatch.setattr(Q, "EF", 10)  # a beam that misses neighbours
     same_as_sql(spark, name, sf)
