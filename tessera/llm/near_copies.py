@@ -8,13 +8,20 @@ no change has touched. Of long texts a share of the parts is looked at, chosen b
 fingerprints, MARKS to twice as many, so that texts of about one length choose alike.
 
 Up to FEW documents with a part are all compared; of more, each with the smallest and the largest
-id: rows in proportion to the parts, however large a group of copies is. The fingerprints of the
+id first: rows in proportion to the parts, however large a group of copies is. The fingerprints of the
 two texts must be within FAR bits, which Jaccard 0.8 keeps to but for one pair in many thousands;
 then the shingle sets are compared exactly.
+
+What is linked already needs no further link. So of parts with more documents all pairs follow that
+lie in different groups still: by blocks of documents of about one size, in memory, those that can be
+near copies by their fingerprints and by a bound on the shingles in common (the sum over HELD bins of
+the lesser number of shingles there, which is never too low). First a few pairs of any two
+groups are compared, then, of the groups that remain, all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +36,13 @@ from tessera.llm.simhash import BYTES, shingle_hashes, simhash_links
 PART, MARKS = 8, 8
 #: Documents with a part that are all compared; differing bits of whole texts; comparisons in a task's slice.
 FEW, FAR, SLICE = 8, 24, 256
+#: Bins of a document's shingles, documents in a block, pairs of any two groups that are compared first.
+HELD, BLOCK, BEST = 256, 4096, 2
+#: Tasks of comparing pairs between groups that go to where the texts are.
+SENT = 1 << 16
 _NODE = "struct<a: long, b: long>"
 _LAST = 2**63 - 1
+_FULL = 2**16 - 1
 
 
 def part_fingerprints(hashes: np.ndarray) -> tuple[int, list[int]]:
@@ -53,22 +65,110 @@ def part_fingerprints(hashes: np.ndarray) -> tuple[int, list[int]]:
 def _fingerprints(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, parts, n = [], [], []
+            fp, parts, n, held = [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), words)
                 a, b = part_fingerprints(hashes) if len(hashes) else (0, [])
                 fp.append(a)
                 parts.append(np.unique(np.array(b, np.uint64)).view(np.int64))
-                n.append(len(np.unique(hashes)))
+                own = np.unique(hashes)
+                n.append(len(own))
+                held.append(held_shingles(own).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["id", "node", "fp", "n", "parts"]
+                [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(held, pa.binary())],
+                ["id", "node", "fp", "n", "parts", "held"],
             )
 
-    return rows.select("id", "node", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id long, node {_NODE}, fp long, n long, parts array<long>")
+    return rows.select("id", "node", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id long, node {_NODE}, fp long, n long, parts array<long>, held binary")
+
+
+def held_shingles(different: np.ndarray) -> np.ndarray:
+    """How many of a text's different shingle hashes are in each of HELD bins."""
+    return np.minimum(np.bincount((different >> np.uint64(56)).astype(np.int64), minlength=HELD), _FULL).astype("<u2")
+
+
+def block_pairs(fp: np.ndarray, n: np.ndarray, group: np.ndarray, held: np.ndarray, side: np.ndarray | None, least: float, best: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of documents in different groups that can have Jaccard similarity `least`; side:
+    pairs are between 0 and 1, otherwise of all. best: so many of any two groups, the likeliest."""
+    fp = fp.view(np.uint64)  # bitwise_count takes absolute values
+    one, two = (np.arange(len(n)),) * 2 if side is None else (np.nonzero(side == k)[0] for k in (0, 1))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for lo in range(0, len(one), 256):
+        own = one[lo : lo + 256]
+        ok = (group[own][:, None] != group[two]) & (np.bitwise_count(fp[own][:, None] ^ fp[two]) <= FAR)
+        ok &= np.minimum(n[own][:, None], n[two]) >= least * np.maximum(n[own][:, None], n[two])
+        if side is None:
+            ok &= own[:, None] < two
+        i, j = np.nonzero(ok)
+        i, j = own[i], two[j]
+        for a in range(0, len(i), 1 << 14):
+            x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            both = np.minimum(held[x], held[y]).sum(axis=1, dtype=np.int64)
+            stay = (both * (1 + least) >= least * (n[x] + n[y]) - 1e-6) | (np.maximum(n[x], n[y]) >= _FULL)
+            out.append((x[stay], y[stay], both[stay]))
+        if best is not None and sum(len(x[0]) for x in out) > 1 << 18:
+            out = [_likeliest(*(np.concatenate(x) for x in zip(*out)), n, group, best)]
+    i, j, both = (np.concatenate(x) for x in zip(*out))
+    if best is not None:
+        i, j, _ = _likeliest(i, j, both, n, group, best)
+    return i, j
+
+
+def _likeliest(i: np.ndarray, j: np.ndarray, both: np.ndarray, n: np.ndarray, group: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    groups = np.minimum(group[i], group[j]) * (len(group) + 1) + np.maximum(group[i], group[j])
+    order = np.lexsort((-both / (n[i] + n[j]), groups))
+    groups = groups[order]
+    order = order[np.arange(len(order)) - np.searchsorted(groups, groups) < best]
+    return i[order], j[order], both[order]
+
+
+def _between_groups(many: DataFrame, seen: DataFrame, links: DataFrame, least: float, best: int | None) -> DataFrame:
+    """Pairs (src, dst) of documents that share a large part and that links leave in different groups."""
+    tables = Tables()
+    groups = connected_components(links).withColumnRenamed("node", "member")
+    crowd = many.select("part", "me.node", "me.fp", "me.n").dropDuplicates(["part", "node"])
+    crowd = crowd.join(groups, F.col("node") == F.col("member"), "left").select("part", "node", "fp", "n", F.coalesce("component", "node").alias("component"))
+    # sizes that may go together lie in one range or in the next
+    crowd = tables.stored(crowd.withColumn("bin", F.floor(F.log("n") / (-1.0001 * math.log(least))).cast("int")), "near-crowd")
+    mixed = crowd.groupBy("part").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("part")
+    blocks = crowd.join(mixed, "part").groupBy("part", "bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = tables.stored(blocks, "near-blocks")
+    beside = lambda step, name: blocks.select("part", (F.col("bin") + step).alias("bin"), F.col("blocks").alias(name))
+    counts = blocks.join(beside(-1, "above"), ["part", "bin"], "left").join(beside(1, "below"), ["part", "bin"], "left").na.fill(0, ["above", "below"])
+    counts = tables.stored(counts, "near-counts")
+    placed = crowd.join(counts, ["part", "bin"]).withColumn("t", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    up_to = lambda c, f: F.transform(F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>")), f)
+    task = lambda kind, bin, x, y, side: F.struct(F.lit(kind).alias("kind"), bin.cast("int").alias("bin"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    t, own = F.col("t"), F.col("bin")
+    tasks = F.concat(
+        up_to("blocks", lambda v: task(0, own, F.least(t, v), F.greatest(t, v), t > v)),
+        up_to("above", lambda v: task(1, own, t, v, F.lit(0))),
+        up_to("below", lambda v: task(1, own - 1, v, t, F.lit(1))),
+    )
+    held = seen.select("node", "held").dropDuplicates(["node"])
+    wanted = tables.stored(placed.select("part", "node", "fp", "n", "component", F.explode(tasks).alias("task")), "near-wanted")
+    dealt = wanted.join(held, "node").select("part", "task.*", "node", "fp", "n", "component", "held")
+
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        kind, x, y = (key[k].as_py() for k in (1, 3, 4))
+        node = table.column("node").combine_chunks()
+        component = table.column("component").combine_chunks()
+        group = np.stack([component.field(k).to_numpy() for k in range(2)], axis=1)
+        group = np.unique(group, axis=0, return_inverse=True)[1].reshape(-1)
+        column = lambda c: table.column(c).to_numpy()
+        bins = np.frombuffer(b"".join(table.column("held").to_pylist()), "<u2").reshape(-1, HELD)
+        i, j = block_pairs(column("fp"), column("n"), group, bins, None if kind == 0 and x == y else column("side"), least, best)
+        return pa.table({"src": node.take(pa.array(i)), "dst": node.take(pa.array(j))})
+
+    found = dealt.groupBy("part", "kind", "bin", "x", "y").applyInArrow(pairs, f"src {_NODE}, dst {_NODE}")
+    found = stored(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "near-between")
+    tables.discard()
+    return found
 
 
-def _similar(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of pairs (src, dst) whose shingle sets have Jaccard similarity `least` or more."""
+def _similar(rows: DataFrame, pairs: DataFrame, words: int, least: float, sent: int = 0) -> DataFrame:
+    """Those of pairs (src, dst) whose shingle sets have Jaccard similarity `least` or more; up to
+    `sent` tasks of comparing go to where the texts are."""
     tables = Tables()
     sizes = tables.stored(pairs.groupBy("dst").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")), "near-sizes")
     member = pairs.join(sizes, "dst").select(F.col("src").alias("node"), F.struct("dst", F.pmod(F.xxhash64("src"), "slices").cast("int").alias("slice"), F.lit(1).alias("kind")).alias("task"))
@@ -85,8 +185,9 @@ def _similar(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
                 found.append(held)
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(found, pa.binary())], ["task", "node", "shingles"])
 
-    # a plain join of two tables, so that Spark can split a text with very many tasks
-    joined = rows.select("node", F.col("text").cast("binary").alias("text")).join(tasks.hint("merge"), "node")
+    # otherwise a plain join of two tables, so that Spark can split a text with very many tasks
+    how = "broadcast" if sent and tasks.count() <= sent else "merge"
+    joined = rows.select("node", F.col("text").cast("binary").alias("text")).join(tasks.hint(how), "node")
     dealt = joined.mapInArrow(sets, f"task struct<dst: {_NODE}, slice: int, kind: int>, node {_NODE}, shingles binary")
     dealt = dealt.select("task.dst", "task.slice", "task.kind", "node", "shingles")
     dealt = dealt.repartition("dst", "slice").sortWithinPartitions("dst", "slice", "kind")
@@ -146,6 +247,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = "bit_count(me.fp ^ first.fp) <= {far} AND least(me.n, first.n) >= {s} * greatest(me.n, first.n)".format(far=FAR, s=similarity)
     pairs = tables.stored(pairs.where(near).select(F.col("me.node").alias("src"), F.col("first.node").alias("dst")).distinct(), "near-pairs")
     links = _similar(rows, pairs, words, similarity)
+    found = [links]
+    for best in (BEST, None):
+        more = _between_groups(many.select("part", "me"), seen, links, similarity, best)
+        if not more.isEmpty():
+            found.append(_similar(rows, more, words, similarity, SENT))
+            links = links.union(found[-1])
+        discard(more)
     groups = connected_components(links)
     ids = seen.select("node", "id").distinct()
     named = tables.stored(groups.join(ids, "node").select("node", "component", F.struct("id", "node").alias("me")), "near-named")
@@ -154,7 +262,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = seen.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").select("node")
     gone, again = stored(gone, "near-gone"), stored(again, "near-again")
     tables.discard()
-    discard(links)
+    for df in found:
+        discard(df)
     kept = docs.join(gone.hint("merge"), docs[node] == gone["gone"], "left_anti")
     if not again.isEmpty():
         again = again.withColumnRenamed("node", "again")

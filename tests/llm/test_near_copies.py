@@ -1,6 +1,9 @@
 import random
 
-from tessera.llm.near_copies import drop_near_copies
+import numpy as np
+
+from tessera.llm import near_copies
+from tessera.llm.near_copies import block_pairs, drop_near_copies, held_shingles
 
 
 def shingles(text, words=5):
@@ -94,3 +97,46 @@ def test_no_two_near_copies_are_left_of_a_table(spark):
         links[i] = [j for j in near if len(own & sets[j]) >= 0.8 * len(own | sets[j])]
     missed = [i for i in kept if any(j in set(kept) for j in links[i])]
     assert len(missed) <= 0.02 * sum(bool(x) for x in links.values())
+
+
+def test_pairs_in_a_crowd_of_documents_are_found(spark, monkeypatch):
+    """Near copies whose only part in common is one that very many documents have."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    line = [word() for _ in range(110)]
+    rows = [" ".join(line + [word() for _ in range(150)]) for _ in range(30)]
+    for k in range(12):  # unlike others; two of a kind are like each other by the passage and the start of what follows
+        own = [word() for _ in range(24)]
+        rows += [" ".join(line + own + [word() for _ in range(6)]) for _ in range(2)]
+    order = rng.sample(range(len(rows)), len(rows))
+    docs = spark.createDataFrame([(i, rows[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    label = {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            label[i] = min(label[j] for j in texts if i == j or jaccard(texts[i], texts[j]) >= 0.8)
+    want = {i for i in texts if label[i] == i}
+    assert len(want) < len(texts)
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    known = near_copies.part_fingerprints
+
+    def one_part(hashes):  # all documents have the same part, and no other
+        return known(hashes)[0], [7]
+
+    monkeypatch.setattr(near_copies, "part_fingerprints", one_part)
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == want
+
+
+def test_bound_on_shingles_in_common_loses_none():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**64, n, np.uint64) for n in (20, 90, 400, 3000)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.92], rng.integers(0, 2**64, len(b) // 20, np.uint64)])) for b in base for _ in range(12)]
+    n, held = np.array([len(x) for x in sets]), np.stack([held_shingles(x) for x in sets])
+    like = {(i, j) for j in range(len(sets)) for i in range(j) if (b := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (n[i] + n[j] - b)}
+    zero, group = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    got = set(zip(*(x.tolist() for x in block_pairs(zero, n, group, held, None, 0.8, None))))
+    assert like and like <= got and len(got) < len(sets) ** 2 // 4
+    side = np.arange(len(sets)) % 2
+    assert {p for p in like if side[p[0]] != side[p[1]]} <= {tuple(sorted(p)) for p in zip(*(x.tolist() for x in block_pairs(zero, n, group, held, side, 0.8, None)))}
+    i, j = block_pairs(zero, n, group // 12, held, None, 0.8, 1)
+    assert len(i) == 0 and len(block_pairs(zero, n, group % 12, held, None, 0.8, 1)[0]) <= 66
