@@ -17,6 +17,8 @@ from tessera.functions.vectors import cosine_normalized
 QUERY_BYTES = 64 << 20
 #: Bytes of distances that a task works out at once.
 STEP_BYTES = 64 << 20
+#: Pairs of a query and a row that are measured at once.
+PAIRS = 1 << 15
 
 
 def live(vectors: DataFrame) -> DataFrame:
@@ -51,28 +53,57 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(dist, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
+def measured(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The distance of each pair of rows, added up in order as dot() does. A product of matrices
+    rounds by shape and place, so equal vectors may come out at unequal distances there."""
+    return 1 - np.add.accumulate(asked * rows, axis=1)[:, -1]
+
+
 class _Nearest:
-    """The k nearest so far of each of some queries, whatever base rows come."""
+    """The k nearest so far of each of some queries, whatever base rows come.
+
+    A product of matrices says which rows may be among them; these are measured one by one.
+    """
 
     def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int):
         self.qids, self.matrix, self.k = qids, matrix, k
         self.step = min(4096, max(64, STEP_BYTES // (8 * 1024)))  # base rows at once
         self.rows = max(1, STEP_BYTES // (8 * (self.step + k)))  # queries at once
-        self.parts = [(np.empty((len(qids[lo : lo + self.rows]), 0)), np.empty((len(qids[lo : lo + self.rows]), 0), np.int64)) for lo in range(0, len(qids), self.rows)]
+        self.parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)) for _ in range(0, len(qids), self.rows)]  # query, id, dist
+        self.worst, self.worst_id = np.full(len(qids), np.inf), np.full(len(qids), np.iinfo(np.int64).max)
+        self.length = np.linalg.norm(matrix, axis=1)
 
     def add(self, ids: np.ndarray, base: np.ndarray) -> None:
-        for n, (dist, near) in enumerate(self.parts):
-            new = 1 - self.matrix[n * self.rows : (n + 1) * self.rows] @ base.T
-            new, own = _best(new, np.broadcast_to(ids, new.shape), self.k)
-            self.parts[n] = _best(np.hstack([dist, new]), np.hstack([near, own]), self.k)
+        if not len(ids):
+            return
+        # twice what a product of matrices may be off by
+        slack = 4 * (base.shape[1] + 4) * np.finfo(np.float64).eps * (1 + self.length * np.linalg.norm(base, axis=1).max())
+        for n in range(len(self.parts)):
+            lo, hi = n * self.rows, (n + 1) * self.rows
+            new, cut = 1 - self.matrix[lo:hi] @ base.T, self.worst[lo:hi]
+            if new.shape[1] > self.k and not np.isfinite(cut).all():
+                cut = np.fmin(cut, np.partition(new, self.k - 1, axis=1)[:, self.k - 1])
+            row, at = np.nonzero(~(new > (cut + slack[lo:hi])[:, None]))
+            for a in range(0, len(row), PAIRS):
+                query, near = row[a : a + PAIRS] + lo, at[a : a + PAIRS]
+                self._keep(n, query, ids[near], measured(self.matrix[query], base[near]))
+
+    def _keep(self, n: int, query: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        worst = self.worst[query]
+        nearer = ~((dist > worst) | ((dist == worst) & (ids > self.worst_id[query])))
+        query, ids, dist = (np.concatenate([held, x[nearer]]) for held, x in zip(self.parts[n], (query, ids, dist)))
+        order = np.lexsort((ids, dist, query))
+        query, ids, dist = query[order], ids[order], dist[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k - 1
+        self.worst[query[last]], self.worst_id[query[last]] = dist[last], ids[last]
+        self.parts[n] = tuple(x[rank < self.k] for x in (query, ids, dist))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        for n, (dist, near) in enumerate(self.parts):
-            qids = self.qids[n * self.rows : (n + 1) * self.rows]
-            step = max(1, 1_000_000 // max(1, dist.shape[1]))
-            for lo in range(0, len(qids), step):
-                d, i = dist[lo : lo + step], near[lo : lo + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[lo : lo + step], d.shape[1])), pa.array(i.ravel()), pa.array(d.ravel())], ["qid", "id", "dist"])
+        for query, ids, dist in self.parts:
+            for lo in range(0, len(query), 1_000_000):
+                own = slice(lo, lo + 1_000_000)
+                yield pa.RecordBatch.from_arrays([pa.array(self.qids[query[own]]), pa.array(ids[own]), pa.array(dist[own])], ["qid", "id", "dist"])
 
 
 _FOUND = "qid long, id long, dist double"
@@ -81,7 +112,7 @@ _FOUND = "qid long, id long, dist double"
 def knn_join(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, rk, id, dist): for each row (qid, vec) of queries the k nearest live rows of base.
 
-    Ties go by id; distances are sums in DOUBLE. Up to QUERY_BYTES of queries go to every task, which
+    Ties go by id; distances are sums in DOUBLE, and those of equal rows are equal. Up to QUERY_BYTES of queries go to every task, which
     compares its part of base with them and keeps k rows a query, so what is shuffled is k rows for
     each query and task. More queries are cut into blocks, and so is base, and a task gets a block
     of each; nothing passes the driver then. A task works out STEP_BYTES of distances at once.

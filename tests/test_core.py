@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,3 +470,12 @@ def test_check_of_a_search_with_ties_few_found_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(graph, "CHECK_BYTES", 1 << 12)
     assert sorted((r.qid, r.rk, r.id) for r in graph.graph_search(edges, table.repartition(3), queries, 10, 10, checked=True).collect()) == want
     assert sorted((r.qid, r.rk, r.id) for r in graph.graph_search(edges.where("id < 0"), table, queries, 10, 10, checked=True).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["knn_join", "graph_recall"])
+def test_equal_rows_are_equally_far(spark, tmp_path, sf, name):
+    """Two queries and 65 rows with one vector: a product of matrices has the last row at another distance."""
+    one = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id = 5").select("embedding", F.lit(0).alias("label"))
+    table = spark.range(65).select(F.col("id").alias("vec_id")).crossJoin(one).orderBy("vec_id").toArrow()
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    same_as_sql(spark, name, str(tmp_path))
