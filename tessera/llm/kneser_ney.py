@@ -132,11 +132,17 @@ class Vocabulary:
         out[first] = self.begin
         return out
 
-    def sequences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all tokens of the texts (-1: not known), each text with its end, and where it begins."""
+    def looked_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the different tokens of the texts (ascending but for -1: not known), which of them
+        each token is, each text with its end, and where it begins."""
         hashes, first = token_hashes(texts)
         words, at = np.unique(hashes, return_inverse=True)
-        return self.arrays.find(words)[at], first
+        return self.arrays.find(words), at, first
+
+    def sequences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens of the texts (-1: not known), and where each text begins."""
+        words, at, first = self.looked_up(texts)
+        return words[at], first
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -300,13 +306,14 @@ def _count_trigrams(texts: DataFrame, folder: str, bits: int, part: int) -> dict
         for batch in batches:
             for _, texts_here in _chunks(batch, 0):
                 ids, first = words.sequences(texts_here)
-                keys, at = np.unique(_pair(words.before(ids, first), ids), return_inverse=True)
-                place, bucket = pairs.find(keys), _bucket(keys, bits)
-                place, bucket = (place - pairs.offset[bucket])[at], bucket[at]
+                keys = _pair(words.before(ids, first), ids)
                 inside = np.ones(len(ids), bool)  # what a bigram stands before: all but the first of a text
                 inside[first] = False
-                here = np.nonzero(inside[1:] & (bucket[:-1] % ROUNDS == part))[0]
-                held.append((bucket[here], place[here].astype(np.uint64) << np.uint64(32) | ids[here + 1].astype(np.uint64)))
+                here = np.nonzero(inside[1:] & (_bucket(keys[:-1], bits) % ROUNDS == part))[0]
+                keys, at = np.unique(keys[here], return_inverse=True)
+                bucket = _bucket(keys, bits)
+                place = (pairs.find(keys) - pairs.offset[bucket]).astype(np.uint64) << np.uint64(32)
+                held.append((bucket[at], place[at] | ids[here + 1].astype(np.uint64)))
                 n += len(here)
                 if n >= HELD_TOKENS:
                     yield added(held)
@@ -316,9 +323,13 @@ def _count_trigrams(texts: DataFrame, folder: str, bits: int, part: int) -> dict
 
     def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         bucket, keys = (np.concatenate(x) for x in zip(*held))
-        wide = int(bucket.max(initial=0)).bit_length() + int(keys.max(initial=0)).bit_length() > 64
-        order = np.lexsort((keys, bucket)) if wide else np.argsort(bucket.astype(np.uint64) << np.uint64(int(keys.max(initial=0)).bit_length()) | keys)
-        bucket, keys = bucket[order], keys[order]
+        low = int(keys.max(initial=0)).bit_length()
+        if int(bucket.max(initial=0)).bit_length() + low > 64:
+            order = np.lexsort((keys, bucket))
+            bucket, keys = bucket[order], keys[order]
+        else:
+            both = np.sort(bucket.astype(np.uint64) << np.uint64(low) | keys)
+            bucket, keys = (both >> np.uint64(low)).astype(np.int64), both & np.uint64((1 << low) - 1)
         first = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])]))[0]
         return _rows(bucket[first], keys[first], np.diff(np.append(first, len(keys))))
 
@@ -478,12 +489,13 @@ class Scorer:
         self.rest = float((d * several).sum()) / model.bigrams / (model.size + 1) if model.bigrams else 1.0
 
     def _numbered(self, name: str, ids: np.ndarray) -> np.ndarray:
-        """Of word numbers, ascending; 0 where nothing is known."""
-        out = np.zeros(len(ids))
-        cut = np.searchsorted(ids, np.arange(len(self.of[name]) + 1) * self.width)
+        """Of word numbers, ascending but for -1; 0 there and where nothing is known."""
+        out, there = np.zeros(len(ids)), np.nonzero(ids >= 0)[0]
+        own = ids[there]
+        cut = np.searchsorted(own, np.arange(len(self.of[name]) + 1) * self.width)
         for b in np.nonzero(np.diff(cut))[0].tolist():
             if len(part := self.of[name][b]):
-                out[cut[b] : cut[b + 1]] = part[ids[cut[b] : cut[b + 1]] - b * self.width]
+                out[there[cut[b] : cut[b + 1]]] = part[own[cut[b] : cut[b + 1]] - b * self.width]
         return out
 
     @staticmethod
@@ -498,8 +510,8 @@ class Scorer:
         return out
 
     def word_probability(self, ids: np.ndarray) -> np.ndarray:
-        """Of tokens, ascending numbers (-1: unknown), whatever stands before."""
-        follows = self._numbered("follows", np.maximum(ids, 0)) * (ids >= 0)
+        """Of tokens, numbers ascending but for -1 (unknown), whatever stands before."""
+        follows = self._numbered("follows", ids)
         less = np.array([0.0, *self.model.word_discounts])[np.minimum(follows, 3).astype(np.int64)]
         return (follows - less) / max(1, self.model.bigrams) + self.rest
 
@@ -533,28 +545,31 @@ class Scorer:
         """Of the tokens after, each behind a token before, and one far before that (None: of none)."""
         pair = lambda a, b: _pair(np.maximum(a, 0), np.maximum(b, 0))
         there = (before >= 0) & (after >= 0)
+        each = (*np.unique(before, return_inverse=True), *np.unique(after, return_inverse=True))
         if far is None:
             keys, at = np.unique(pair(before, after), return_inverse=True)
-            return self._given(before, after, self._bigram(keys), at, there, np.zeros(len(at), np.int64), np.zeros(len(at), bool))
+            return self._given(*each, self._bigram(keys), at, there, np.zeros(len(at), np.int64), np.zeros(len(at), bool))
         keys, at = np.unique(np.concatenate([pair(before, after), pair(far, before)]), return_inverse=True)
         at, context = np.split(at, 2)
-        return self._given(before, after, self._bigram(keys), at, there, context, (far >= 0) & (before >= 0))
-
-    def _given(self, before: np.ndarray, after: np.ndarray, known: dict[str, np.ndarray], at: np.ndarray, there: np.ndarray, context: np.ndarray, behind: np.ndarray) -> np.ndarray:
-        """at: which of the known bigrams each (before, after) is, where both are there; context: which
-        one stands before after, where there is one (behind)."""
-        words, at_word = np.unique(after, return_inverse=True)
-        contexts, at_context = np.unique(before, return_inverse=True)
+        return self._given(*each, self._bigram(keys), at, there, context, (far >= 0) & (before >= 0))
+
+    def _given(
+        self, contexts: np.ndarray, at_context: np.ndarray, words: np.ndarray, at_word: np.ndarray,
+        known: dict[str, np.ndarray], at: np.ndarray, there: np.ndarray, context: np.ndarray, behind: np.ndarray,
+    ) -> np.ndarray:
+        """Of the tokens words[at_word] behind contexts[at_context], both ascending but for -1. at: which
+        of the known bigrams each pair is, where both are there; context: which one stands before the
+        token, where there is one (behind)."""
         low = self.word_probability(words)[at_word]
-        total, *some = (self._numbered(x, np.maximum(contexts, 0)) * (contexts >= 0) for x in ("total", "n1", "n2", "n3"))
+        total, *some = (self._numbered(x, contexts) for x in ("total", "n1", "n2", "n3"))
         weight = np.where(total > 0, sum(d * n for d, n in zip(self.model.bigram_discounts, some)) / np.maximum(total, 1), 1.0)
         middle = self._less(self.model.bigram_discounts, known["count"][at] * there) / np.maximum(total, 1)[at_context] + weight[at_context] * low
         if self.model.order == 2:
             return middle
         total = known["total"][context] * behind
-        long = np.nonzero((total > 0) & (after >= 0))[0]
-        counts = np.zeros(len(after))
-        counts[long] = self._trigram_counts(known, context[long], after[long])
+        long = np.nonzero((total > 0) & (words >= 0)[at_word])[0]
+        counts = np.zeros(len(at_word))
+        counts[long] = self._trigram_counts(known, context[long], words[at_word[long]])
         weight = np.where(total > 0, known["kept"][context] / np.maximum(total, 1), 1.0)
         return self._less(self.model.trigram_discounts, counts) / np.maximum(total, 1) + weight * middle
 
@@ -564,9 +579,11 @@ class Scorer:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: tokens, known ones, log10 probability with add-one words, and of the model."""
-        ids, first = self.words.sequences(texts)
+        words, at, first = self.words.looked_up(texts)
+        ids = words[at]
         before = self.words.before(ids, first)
-        words, at = np.unique(ids, return_inverse=True)
+        at_before = np.concatenate([[len(words)], at[:-1]])  # the same words behind each other, and the begin
+        at_before[first] = len(words)
         counts = self._placed(self.word_counts, self.words.arrays.offset, words)
         base = np.log10((counts + 1) / (self.model.train_tokens + self.model.size + 1))[at]
         keys, at_pair = np.unique(_pair(np.maximum(before, 0), np.maximum(ids, 0)), return_inverse=True)
@@ -574,7 +591,7 @@ class Scorer:
         behind = np.concatenate([[False], there[:-1]])  # the bigram of the token before, inside a text
         behind[first] = False
         context = np.concatenate([[0], at_pair[:-1]])
-        score = np.log10(self._given(before, ids, self._bigram(keys), at_pair, there, context, behind))
+        score = np.log10(self._given(np.append(words, self.words.begin), at_before, words, at, self._bigram(keys), at_pair, there, context, behind))
         sums = lambda x: np.add.reduceat(x, first)
         return sums(np.ones(len(ids), np.int64)), sums((ids >= 0).astype(np.int64)), sums(base), sums(score)
 

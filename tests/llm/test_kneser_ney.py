@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tessera.llm import common
 from tessera.llm.kneser_ney import Scorer, _read_counts, _write_counts, discounts, score, train
 from tessera.llm.queries import op1_kneser_ney, oracle_sql
 
@@ -171,3 +172,21 @@ def test_counts_of_any_size_are_kept(tmp_path):
         _write_counts(f"{tmp_path}/{k}", counts)
         assert _read_counts(f"{tmp_path}/{k}").tolist() == [1, most]
     assert len(_read_counts(f"{tmp_path}/none")) == 0
+
+
+def test_words_are_hashed_in_pieces(monkeypatch):
+    texts = [b"", b"One two  three", b" ", "vier fünf".encode(), b"x" * 100, b"six\n\n", b""]
+    whole = common.word_hashes(texts)
+    assert whole[1].tolist() == [0, 3, 0, 2, 1, 1, 0]
+    monkeypatch.setattr(common, "HASHED_BYTES", 8)
+    assert all((a == b).all() for a, b in zip(common.word_hashes(texts), whole))
+    assert [len(x) for x in common.word_hashes([])] == [0, 0]
+
+
+def test_scoring_sorts_the_tokens_twice(spark, monkeypatch):
+    """Once by word and once by bigram; all else is worked out from these."""
+    scorer = Scorer(train(spark.createDataFrame([("a b c a b d",), ("b c a",)], "text string")))
+    sorted_, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **more: sorted_.append(len(x)) or unique(x, **more))
+    tokens = scorer.score([b"a b c new a b", b"c new new b"])[0]
+    assert tokens.tolist() == [7, 5] and sorted_ == [12, 12]
