@@ -184,7 +184,7 @@ def test_words_are_hashed_in_pieces(monkeypatch):
 
 
 def test_scoring_sorts_the_tokens_twice(spark, monkeypatch):
-    """Once by word and once by bigram; all else is worked out from these."""
+    """For their different words and bigrams, that is; trigrams that may be known are put in order beside it."""
     scorer = Scorer(train(spark.createDataFrame([("a b c a b d",), ("b c a",)], "text string")))
     sorted_, unique = [], np.unique
     monkeypatch.setattr(np, "unique", lambda x, **more: sorted_.append(len(x)) or unique(x, **more))
