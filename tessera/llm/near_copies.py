@@ -16,7 +16,7 @@ What is linked already needs no further link. So of parts with more documents al
 lie in different groups still: by blocks of documents of about one size, in memory, those that can be
 near copies by their fingerprints and by a bound on the shingles in common (the sum over HELD bins of
 the lesser number of shingles there, which is never too low). First a few pairs of any two
-groups are compared, then, of the groups that remain, all.
+groups are compared, then, of the groups that remain, all. Pairs leave a task in parts, never all at once.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ PART, MARKS = 8, 8
 FEW, FAR, SLICE = 8, 24, 256
 #: Bins of a document's shingles, documents in a block, pairs of any two groups that are compared first.
 HELD, BLOCK, BEST = 256, 4096, 2
+#: Pairs between groups that a task holds before it hands them on.
+PAIRS = 1 << 16
 #: Tasks of comparing pairs between groups that go to where the texts are.
 SENT = 1 << 16
 _NODE = "struct<a: long, b: long>"
@@ -88,11 +90,22 @@ def held_shingles(different: np.ndarray) -> np.ndarray:
 
 
 def block_pairs(fp: np.ndarray, n: np.ndarray, group: np.ndarray, held: np.ndarray, side: np.ndarray | None, least: float, best: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of documents in different groups that can have Jaccard similarity `least`; side:
-    pairs are between 0 and 1, otherwise of all. best: so many of any two groups, the likeliest."""
+    """The pairs of pair_parts together."""
+    none = (np.empty(0, np.int64),) * 3
+    i, j, both = (np.concatenate(x) for x in zip(none, *pair_parts(fp, n, group, held, side, least, best)))
+    if best is not None:
+        i, j, _ = _likeliest(i, j, both, n, group, best)
+    return i, j
+
+
+def pair_parts(fp: np.ndarray, n: np.ndarray, group: np.ndarray, held: np.ndarray, side: np.ndarray | None, least: float, best: int | None, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of documents in different groups that can have Jaccard similarity `least`, with the
+    bound on their shingles in common; side: pairs are between 0 and 1, otherwise of all. best: so many
+    of any two groups, the likeliest, in each part. A part is handed on at some `most` pairs, since all
+    pairs of two blocks are millions."""
     fp = fp.view(np.uint64)  # bitwise_count takes absolute values
     one, two = (np.arange(len(n)),) * 2 if side is None else (np.nonzero(side == k)[0] for k in (0, 1))
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    out, size = [], 0
     for lo in range(0, len(one), 256):
         own = one[lo : lo + 256]
         ok = (group[own][:, None] != group[two]) & (np.bitwise_count(fp[own][:, None] ^ fp[two]) <= FAR)
@@ -106,12 +119,18 @@ def block_pairs(fp: np.ndarray, n: np.ndarray, group: np.ndarray, held: np.ndarr
             both = np.minimum(held[x], held[y]).sum(axis=1, dtype=np.int64)
             stay = (both * (1 + least) >= least * (n[x] + n[y]) - 1e-6) | (np.maximum(n[x], n[y]) >= _FULL)
             out.append((x[stay], y[stay], both[stay]))
-        if best is not None and sum(len(x[0]) for x in out) > 1 << 18:
-            out = [_likeliest(*(np.concatenate(x) for x in zip(*out)), n, group, best)]
-    i, j, both = (np.concatenate(x) for x in zip(*out))
-    if best is not None:
-        i, j, _ = _likeliest(i, j, both, n, group, best)
-    return i, j
+            size += len(out[-1][0])
+            if size >= most:
+                part = tuple(np.concatenate(x) for x in zip(*out))
+                if best is not None:
+                    part = _likeliest(*part, n, group, best)
+                out, size = [part], len(part[0])
+                if best is None or size > most // 2:  # hardly fewer: more of the same would be no better
+                    yield part
+                    out, size = [], 0
+    if size:
+        part = tuple(np.concatenate(x) for x in zip(*out))
+        yield part if best is None else _likeliest(*part, n, group, best)
 
 
 def _likeliest(i: np.ndarray, j: np.ndarray, both: np.ndarray, n: np.ndarray, group: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +168,8 @@ def _between_groups(many: DataFrame, seen: DataFrame, links: DataFrame, least: f
     wanted = tables.stored(placed.select("part", "node", "fp", "n", "component", F.explode(tasks).alias("task")), "near-wanted")
     dealt = wanted.join(held, "node").select("part", "task.*", "node", "fp", "n", "component", "held")
 
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         kind, x, y = (key[k].as_py() for k in (1, 3, 4))
         node = table.column("node").combine_chunks()
         component = table.column("component").combine_chunks()
@@ -157,8 +177,8 @@ def _between_groups(many: DataFrame, seen: DataFrame, links: DataFrame, least: f
         group = np.unique(group, axis=0, return_inverse=True)[1].reshape(-1)
         column = lambda c: table.column(c).to_numpy()
         bins = np.frombuffer(b"".join(table.column("held").to_pylist()), "<u2").reshape(-1, HELD)
-        i, j = block_pairs(column("fp"), column("n"), group, bins, None if kind == 0 and x == y else column("side"), least, best)
-        return pa.table({"src": node.take(pa.array(i)), "dst": node.take(pa.array(j))})
+        for i, j, _ in pair_parts(column("fp"), column("n"), group, bins, None if kind == 0 and x == y else column("side"), least, best):
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["src", "dst"])
 
     found = dealt.groupBy("part", "kind", "bin", "x", "y").applyInArrow(pairs, f"src {_NODE}, dst {_NODE}")
     found = stored(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "near-between")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -140,3 +141,36 @@ def test_bound_on_shingles_in_common_loses_none():
     assert {p for p in like if side[p[0]] != side[p[1]]} <= {tuple(sorted(p)) for p in zip(*(x.tolist() for x in block_pairs(zero, n, group, held, side, 0.8, None)))}
     i, j = block_pairs(zero, n, group // 12, held, None, 0.8, 1)
     assert len(i) == 0 and len(block_pairs(zero, n, group % 12, held, None, 0.8, 1)[0]) <= 66
+
+
+def test_pairs_of_two_full_blocks_are_never_held_at_once(spark, monkeypatch):
+    """Documents that can all be near copies of each other: parts hold what the whole holds."""
+    rng = np.random.default_rng(1)
+    m = 3000
+    common = np.bincount(rng.integers(0, 256, 840), minlength=256)
+    held = np.stack([common + np.bincount(rng.integers(0, 256, 160), minlength=256) for _ in range(m)]).astype("<u2")
+    n, fp, group, side = np.full(m, 1000), np.zeros(m, np.int64), np.arange(m), np.arange(m) % 2
+    want = {}
+    for best in (None, 2):  # each a group of its own: no pair of groups has more than one
+        tracemalloc.start()
+        count = total = 0
+        for i, j, _ in near_copies.pair_parts(fp, n, group, held, side, 0.8, best):
+            assert len(i) <= near_copies.PAIRS + (1 << 14)
+            count, total = count + len(i), total + int((i * m + j).sum())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want[best] = count, total
+        assert peak < 64e6, (best, peak)
+    assert want[None] == want[2] and want[None][0] > 0.9 * (m // 2) ** 2
+    i, j = block_pairs(fp, n, group, held, side, 0.8, None)
+    assert (len(i), int((i * m + j).sum())) == want[None] and len(np.unique(i * m + j)) == len(i)
+    # few groups: at most so many of any two of them
+    i, j = block_pairs(fp, n, group % 5, held, side, 0.8, 2)
+    assert len(i) == 20 and (i % 5 != j % 5).all()
+    # the stage gives the same rows whatever the size of a part
+    texts, _ = corpus(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "part_fingerprints", lambda hashes, known=near_copies.part_fingerprints: (known(hashes)[0], [7]))
+    kept = {r.doc_id for r in drop_near_copies(docs).collect()}
+    monkeypatch.setattr(near_copies, "pair_parts", lambda *args, known=near_copies.pair_parts: known(*args, most=3))
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == kept
